@@ -72,7 +72,7 @@ def signature(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
         n = int(min(2048, max(1, 6 * COMPONENTS // len(seed))))
         count = (np.arange(drawn, drawn + n, dtype=np.uint64) + np.uint64(1)) * _GOLDEN
         bits = _mix(seed[:, None] ^ _mix(count)[None, :])
-        times = time[:, None] + np.cumsum(-np.log1p(-(bits >> np.uint64(11)) / float(1 << 53)), axis=1) / weight[:, None]
+        times = time[:, None] + np.cumsum(-np.log1p((bits >> np.uint64(11)) / -float(1 << 53)), axis=1) / weight[:, None]
         place = (_mix(bits + _GOLDEN) % np.uint64(COMPONENTS)).astype(np.int64)
         flat, at = times.ravel(), place.ravel()
         early = np.flatnonzero(flat < first[at])
