@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from metaloam.plans import agreement, models, neighbours, relational, text, trees  # noqa: F401  they register their queries
+from metaloam.registry import QUERIES, SQL  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = "study_summary"
+FLAGSHIP = "knn_purity_blocked"
