@@ -7,7 +7,7 @@ used. Valid classes are the block's template, and the gaps between template toke
 
 Slots are read by where the template places them: those inside elements that hold menus, headers, footers, sidebars,
 notices, adverts, forms or comments are left out; an article or main element, where there is one, holds the main text.
-Words that belong to the template outside an article are left out too.
+Outside an article, blocks whose words all belong to the template, and blocks of links, are left out too.
 
 Defined results: a null or empty html has an empty text; a null url counts as a host of its own; repeated rows each get
 a row; pages whose host has too few others go by their own structure alone. An empty table gives none.
@@ -196,22 +196,21 @@ def classes(pages: list[Page], support: int = SUPPORT, least: int = CLASS_SIZE)
 
 
 def slots(page: Page, template: set[tuple[str, str]]) -> Iterator[Text]:
-    """The runs of text that stand in slots of main text, without words of the template outside an article."""
+    """The runs of text that stand in slots of main text. Without an article, blocks of template words or links go."""
     has_main = any(t.main and not t.aside and t.text.strip() for t in page.texts)
-    linked: Counter[int] = Counter()
     sizes: Counter[int] = Counter()
-    if not has_main:
-        for t in page.texts:
-            n = len(t.text.split())
-            sizes[t.block] += n
-            linked[t.block] += n * t.link
+    linked: Counter[int] = Counter()
+    fixed: Counter[int] = Counter()
+    for t in page.texts if not has_main else ():
+        words = t.text.split()
+        sizes[t.block] += len(words)
+        linked[t.block] += len(words) * t.link
+        fixed[t.block] += sum((t.path, w) in template for w in words)
     for t in page.texts:
         if t.aside or (has_main and not t.main):
             continue
-        if not has_main:
-            words = t.text.split()
-            if words and (all((t.path, w) in template for w in words) or 2 * linked[t.block] > sizes[t.block]):
-                continue
+        if sizes[t.block] and (fixed[t.block] == sizes[t.block] or 2 * linked[t.block] > sizes[t.block]):
+            continue
         yield t
 
 
