@@ -113,7 +113,10 @@ def parse(page: str | None) -> Page:
         name = (got[2] or got[5] or "").lower()
         if not name:
             continue
-        if name not in INLINE:
+        if name == "br":  # white space within the block
+            _, path, aside, main, link = stack[-1]
+            out.texts.append(Text(block, path, " ", aside, main, link))
+        elif name not in INLINE:
             block += 1
         if got[1] or got[4]:
             for i in range(len(stack) - 1, 0, -1):
