@@ -6,9 +6,9 @@ random component; a component keeps the shingle that came first. A shingle's pro
 later than every component's first one. Two signatures agree in a component with the probability Jaccard similarity of
 the weighted sets. Bands of components are the keys of candidate groups.
 
-Candidates never come as all pairs of a group: each round links the members of a group to one pivot, after which only
-groups that still hold several classes take part, with one member for each class and new pivots, until a round has no
-pair left to test. Pairs whose signatures agree too little are dropped, and all others are verified on the exact sets of
+Candidates never come as all pairs of a group: the first round compares the members of a group with one pivot, after which
+only groups that still hold several classes take part; their members are compared with new pivots of other classes, more
+of them in each round, until a round has no pair left to test. Pairs whose signatures agree too little are dropped, and all others are verified on the exact sets of
 shingles (Jaccard of at least 0.8). Exact copies are folded into one node first. Classes are the connected components.
 
 Defined results: a text with fewer than five words but not none is one shingle; texts without words are only copies of
@@ -36,8 +36,9 @@ BANDS, ROWS = 24, 5
 COMPONENTS = BANDS * ROWS
 #: Signatures agree in 4 standard deviations less than SIMILARITY at least, else a pair isn't verified.
 AGREE = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / COMPONENTS) ** 0.5
-#: Rounds end when no pair is left to test; more than this many are refused rather than left out silently.
-MAX_ROUNDS = 30
+#: Pivots of a group in the second round; each later round takes as many times more. Rounds end when none is left to test;
+#: more than MAX_ROUNDS are refused rather than left out silently.
+PIVOTS, MAX_ROUNDS = 8, 12
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -153,13 +154,32 @@ def identity(docs: DataFrame):
     return F.coalesce(docs["doc_id"].cast("long"), stand_in)
 
 
-def _candidates(groups: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """Pairs a < b: in each group that holds several classes, one member of each class with the pivot's."""
-    lone = groups.withColumn("label", F.col("node")) if labels is None else groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    by_node, by_label = (F.xxhash64(F.lit(turn), "node"), F.xxhash64(F.lit(turn), "label")) if turn else (F.col("node"), F.col("label"))
-    lone = lone if labels is None else lone.groupBy("key", "label").agg(F.min_by("node", by_node).alias("node"))
-    pivots = lone.groupBy("key").agg(F.min_by("node", by_label).alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "pivot")
-    return lone.join(pivots, "key").filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+def _first_pairs(groups: DataFrame) -> DataFrame:
+    """Pairs a < b: each member of a group with its least one."""
+    pivots = groups.groupBy("key").agg(F.min("node").alias("pivot"))
+    return _ordered(groups.join(pivots, "key").filter("node <> pivot"))
+
+
+def _more_pairs(groups: DataFrame, turn: int) -> DataFrame:
+    """Pairs a < b between classes of a group: each member with the pivots of up to PIVOTS ** turn other classes.
+
+    Pivots are drawn by hash, anew in each turn. A group's pairs are its members times the pivots, never their square.
+    """
+    of_class = groups.groupBy("key", "label").agg(F.min_by("node", F.xxhash64(F.lit(turn), "node")).alias("pivot"))
+    drawn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.lit(turn), "label"), "label"))
+    pivots = of_class.withColumn("_n", drawn).filter(F.col("_n") <= PIVOTS**turn).select("key", F.col("label").alias("other"), "pivot")
+    return _ordered(groups.join(pivots, "key").filter("label <> other"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
+
+def _undecided(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (key, node, label) of the groups that hold several classes."""
+    now = groups.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    return now.join(mixed, "key", "left_semi")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -181,9 +201,11 @@ def classes(docs: DataFrame) -> DataFrame:
     signatures = nodes.select("node", "signature")
     tested = labels = None
     for turn in range(MAX_ROUNDS + 1):
-        pairs = _candidates(groups, labels, turn)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        if turn:
+            groups = stored(_undecided(groups, labels), "groups")
+            pairs = _more_pairs(groups, turn).join(tested, ["a", "b"], "left_anti")
+        else:
+            pairs = _first_pairs(groups)
         told = pairs.join(signatures.toDF("b", "sb"), "b").join(signatures.toDF("a", "sa"), "a")
         likely = stored(told.filter(F.pandas_udf(_agreeing, "double")("sa", "sb") >= AGREE).select("a", "b"), "pairs")
         if likely.isEmpty():
