@@ -56,8 +56,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1) -> pd.D
                 store.create_dir(path, recursive=True)
                 own = f"{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}"
                 out = store.open_output_stream(f"{path}/{own}.bin")
-            for doc, text in zip(rows["_id"], rows["_text"], strict=True):
-                got = np.concatenate([encode.encode(text), end])
+            for doc, own_ids in zip(rows["_id"], encode.encode_batch(list(rows["_text"])), strict=True):
+                got = np.concatenate([own_ids, end])
                 out.write(got.astype(kind).tobytes())
                 offsets.append(offsets[-1] + len(got))
                 ids.append(doc)

@@ -6,18 +6,23 @@ pieces. Where that isn't certain (the tokenizer's own special strings, rare whit
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+#: Texts with other than single spaces and line breaks between words.
+_UNEVEN = r"[\x00-\x09\x0b-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$"
 _CHUNK = re.compile(r"[ \t\r\n]+(?=[ \t\r\n][^ \t\r\n])|[ \t\r\n]?[^ \t\r\n]+|[ \t\r\n]+")
 #: A run of Latin letters, then ASCII punctuation: two tokens' worth for both kinds of tokenizer.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)")
 #: Pieces of text, and words without their punctuation, that a worker remembers, at most.
-REMEMBER = 400_000
+REMEMBER = 900_000
 #: Workers keep one encoder for each file.
 _encoders: dict[str, Encoder] = {}
 
@@ -47,10 +52,13 @@ class Encoder:
         key = " " + letters if spaced else letters if self.spaced else letters.lower()
         got = self.cores.get(key)
         if got is None:
-            if len(self.cores) > REMEMBER:
+            if len(self.cores) > REMEMBER // 2:
                 self.cores.clear()
-            shown = key if key.isascii() and not spaced else key.encode().decode("latin-1").translate(self.letter_of)
-            got = self.cores[key] = tuple(t.id for t in self.tokenizer.model.tokenize(shown))
+            if letters.isascii():
+                shown = chr(self.letter_of[32]) + letters if spaced else key
+            else:
+                shown = key.encode().decode("latin-1").translate(self.letter_of)
+            got = self.cores[key] = tuple([t.id for t in self.tokenizer.model.tokenize(shown)])
         return got
 
     def _signs(self, signs: str) -> tuple[int, ...]:
@@ -82,7 +90,7 @@ class Encoder:
 
     def _pieces(self, text: str) -> list[str] | None:
         """Keys of the pieces: with a leading space left off, or marked by a zero character if taken as they are."""
-        if any(x in text for x in self.special):
+        if "\0" in text or any(x in text for x in self.special):
             return None
         if not self.spaced:
             return None if _ODD.search(text) and not text.isascii() or re.search("[\x1c-\x1f]", text) else text.split()
@@ -95,16 +103,19 @@ class Encoder:
         return ["\0" + x for x in _CHUNK.findall(text)]
 
     def _learn(self, keys: set[str]) -> None:
-        for k in keys:
-            ids, i = self._piece(k), len(self.place)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if i >= len(self.begin):
-                self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.begin[i], self.length[i] = self.used, len(ids)
-            self.place[k] = i
-            self.used += len(ids)
+        made = [self._piece(k) for k in keys]
+        lengths = list(map(len, made))
+        first, n = len(self.place), sum(lengths)
+        while self.used + n > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while first + len(made) > len(self.begin):
+            self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
+        self.flat[self.used : self.used + n] = list(itertools.chain.from_iterable(made))
+        own = slice(first, first + len(made))
+        self.length[own] = lengths
+        self.begin[own] = self.used + np.cumsum(lengths) - lengths
+        self.place.update(zip(keys, range(first, first + len(made)), strict=True))
+        self.used += n
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of the whole text, as ``encode(text, add_special_tokens=False)`` gives them."""
@@ -122,6 +133,39 @@ class Encoder:
         ends = np.cumsum(n)
         return self.flat[np.repeat(self.begin[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """As ``encode`` for each text; pieces are split and numbered in Arrow, so each distinct one is looked up once."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        given = pa.array(texts, pa.string())
+        plain = pc.and_(pc.not_equal(pc.fill_null(given, ""), ""), pc.invert(pc.fill_null(pc.match_substring_regex(given, _UNEVEN), True)))
+        for x in self.special:
+            plain = pc.and_(plain, pc.invert(pc.fill_null(pc.match_substring(given, x), True)))
+        at_once = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        for i in set(range(len(texts))) - set(at_once.tolist()):
+            out[i] = self.encode(texts[i])
+        if not len(at_once):
+            return out
+        own = given.take(pa.array(at_once))
+        if self.spaced:
+            own = pc.replace_substring(pc.binary_join_element_wise("\0", own, ""), "\n", " \n")
+        else:
+            own = pc.replace_substring(own, "\n", " ")
+        pieces = pc.split_pattern(own, " ")
+        coded = pieces.flatten().dictionary_encode()
+        keys = coded.dictionary.to_pylist()
+        if len(self.place) > REMEMBER:
+            self.forget()
+        if new := set(keys).difference(self.place):
+            self._learn(new)
+        at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[coded.indices.to_numpy()]
+        n = self.length[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.repeat(self.begin[at] - ends[:-1], n) + np.arange(ends[-1])]
+        cuts = ends[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
+        for i, lo, hi in zip(at_once, cuts, cuts[1:], strict=False):
+            out[i] = ids[lo:hi]
+        return out
+
 
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
