@@ -52,31 +52,36 @@ def combinations(sizes: np.ndarray, window: int = WINDOW) -> list[tuple[int, ...
     return list(dict.fromkeys(out))
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
-    """min |ax - b| with x >= 0 by an active set, on the normal equations."""
-    gram, target = a.T @ a, a.T @ b
-    x, active = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 3000) -> np.ndarray:
+    """min |ax - b| with x >= 0 by an active set; the products of active columns are kept from round to round."""
+    n = a.shape[1]
+    x, target = np.zeros(n), a.T @ b
+    on: list[int] = []
+    gram = np.zeros((0, 0))
     tolerance = 1e-9 * max(1.0, float(np.abs(target).max(initial=0)))
     for _ in range(rounds):
-        slope = target - gram @ x
-        slope[active] = -np.inf
+        slope = a.T @ (b - a[:, on] @ x[on])
+        slope[on] = -np.inf
         j = int(slope.argmax())
         if slope[j] <= tolerance:
             break
-        active[j] = True
+        cross = a[:, on].T @ a[:, j]
+        gram = np.block([[gram, cross[:, None]], [cross[None, :], np.array([[a[:, j] @ a[:, j]]])]])
+        on.append(j)
         while True:
-            on = np.flatnonzero(active)
-            solved = np.linalg.lstsq(gram[np.ix_(on, on)] + 1e-9 * np.eye(len(on)), target[on], rcond=None)[0]
+            solved = np.linalg.solve(gram + 1e-9 * np.eye(len(on)), target[on])
             if (solved > 0).all():
-                x[:] = 0
                 x[on] = solved
                 break
-            bad = solved <= 0
-            step = (x[on][bad] / np.maximum(x[on][bad] - solved[bad], 1e-12)).min()
-            x[on] += step * (solved - x[on])
-            gone = on[(x[on] <= 1e-9) & bad]
-            active[gone if len(gone) else on[bad][:1]] = False
-            x[~active] = 0
+            now, bad = x[on], solved <= 0
+            step = (now[bad] / np.maximum(now[bad] - solved[bad], 1e-12)).min()
+            now = now + step * (solved - now)
+            gone = bad & (now <= 1e-9)
+            if not gone.any():
+                gone[np.flatnonzero(bad)[0]] = True
+            x[on] = np.where(gone, 0, now)
+            gram = gram[np.ix_(~gone, ~gone)]
+            on = [k for k, g in zip(on, gone, strict=True) if not g]
     return x
 
 
@@ -127,8 +132,8 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW)
             return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
         for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.concatenate([encode.encode(text), end]).astype("<u4")
+            for doc, own in zip(batch["doc_id"], encode.encode_batch(list(batch["text"])), strict=True):
+                ids = np.concatenate([own, end]).astype("<u4")
                 for at in range(0, len(ids), window):
                     part = ids[at : at + window]
                     rows.append((None if pd.isna(doc) else int(doc), at, len(part), len(ids), part.tobytes()))
