@@ -1,10 +1,10 @@
 """Near-duplicate detection: ProbMinHash, banding, verification, and classes of linked documents.
 
-Texts are split into words (A-Z lower-cased, ASCII signs part words) and five-word shingles, weighted by how often they
-occur. ProbMinHash draws the arrivals of a Poisson process for each shingle, at the rate of its weight, each landing in a
+Texts are split into words (A-Z lower-cased, ASCII signs part words) and sets of five-word shingles, all of one weight: a
+text's own counts would tell a text from a copy with a repeated line. ProbMinHash draws the arrivals of a Poisson process for each shingle, at the rate of its weight, each landing in a
 random component; a component keeps the shingle that came first. A shingle's process ends as soon as its next arrival is
 later than every component's first one. Two signatures agree in a component with the probability Jaccard similarity of
-the weighted sets. Bands of components are the keys of candidate groups.
+the weighted sets, which for equal weights is the Jaccard similarity of the sets. Bands of components are the keys of candidate groups.
 
 Candidates never come as all pairs of a group: the first round compares the members of a group with one pivot, after which
 only groups that still hold several classes take part; their members are compared with new pivots of other classes, more
@@ -90,7 +90,8 @@ def sketch(text: str | None) -> tuple[bytes, list[int]] | tuple[None, list[int]]
     all_of = shingles(text)
     if not len(all_of):
         return None, []
-    winners = _mix(signature(*np.unique(all_of, return_counts=True)))
+    elements = np.unique(all_of)
+    winners = _mix(signature(elements, np.ones(len(elements))))  # equal weights: what is verified is the Jaccard of the sets
     keys = np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLDEN
     for j in range(ROWS):
         keys = _mix(keys * _GOLDEN + winners.reshape(BANDS, ROWS)[:, j])

@@ -229,6 +229,14 @@ def test_classes_match_brute_force(spark, empty):
     assert near_dup.classes(empty).count() == 0
 
 
+def test_sketch_is_safe_for_repeated_lines():
+    words = [f"w{i}" for i in range(104)]
+    once, often = " ".join(words), " ".join(words + 19 * words[-14:])
+    (sa, ka), (sb, kb) = near_dup.sketch(once), near_dup.sketch(often)
+    assert near_dup.jaccard(np.unique(near_dup.shingles(once)), np.unique(near_dup.shingles(often))) >= near_dup.SIMILARITY
+    assert (np.frombuffer(sa, np.uint16) == np.frombuffer(sb, np.uint16)).mean() >= near_dup.AGREE and set(ka) & set(kb)
+
+
 # decontamination and packing
 
 
