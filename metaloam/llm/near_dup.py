@@ -6,9 +6,10 @@ random component; a component keeps the shingle that came first. A shingle's pro
 later than every component's first one. Two signatures agree in a component with the probability Jaccard similarity of
 the weighted sets, which for equal weights is the Jaccard similarity of the sets. Bands of components are the keys of candidate groups.
 
-Candidates never come as all pairs of a group: the first round compares the members of a group with one pivot, after which
-only groups that still hold several classes take part; their members are compared with new pivots of other classes, more
-of them in each round, until a round has no pair left to test. Pairs whose signatures agree too little are dropped, and all others are verified on the exact sets of
+The first round compares the members of a candidate group with one pivot. Groups that still hold several classes are then
+cut into blocks, and tasks compare the signatures of all members of different classes, block by block. Of the likely
+partners of a member the best few go on to be verified, more of them in each round, until no block leaves any out: then
+every likely pair of different classes has been verified. Pairs whose signatures agree too little are dropped, and all others are verified on the exact sets of
 shingles (Jaccard of at least 0.8). Exact copies are folded into one node first. Classes are the connected components.
 
 Defined results: a text with fewer than five words but not none is one shingle; texts without words are only copies of
@@ -19,6 +20,7 @@ A row with a null doc_id takes part under a stand-in id of 2**62 or more, from i
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -36,9 +38,9 @@ BANDS, ROWS = 24, 5
 COMPONENTS = BANDS * ROWS
 #: Signatures agree in 4 standard deviations less than SIMILARITY at least, else a pair isn't verified.
 AGREE = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / COMPONENTS) ** 0.5
-#: Pivots of a group in the second round; each later round takes as many times more. Rounds end when none is left to test;
-#: more than MAX_ROUNDS are refused rather than left out silently.
-PIVOTS, MAX_ROUNDS = 8, 12
+#: Members of a block of a candidate group, in the mean, and likely partners of a member in a pair of blocks that are
+#: verified in the second round; each later round takes as many times more, until none is left.
+BLOCK, PARTNERS = 1024, 8
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -119,6 +121,32 @@ def _agreeing(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
         yield pd.Series([float((np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)).mean()) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def likely_partners(labels: np.ndarray, signatures: np.ndarray, blocks: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Places of likely pairs of different labels, for each member its best ``most``; and whether any were left out.
+
+    Pairs inside one block are left to where that block stands alone. Members of the most frequent label are compared with
+    the others only.
+    """
+    names, own, sizes = np.unique(labels, return_inverse=True, return_counts=True)
+    ask = np.flatnonzero(own != sizes.argmax())
+    columns, least, alone = np.ascontiguousarray(signatures.T), AGREE * COMPONENTS, blocks.min() == blocks.max()
+    left, right, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
+    for at in range(0, len(ask), 256):
+        part = ask[at : at + 256]
+        same = np.zeros((len(part), len(labels)), np.uint8)
+        for c in columns:
+            same += c[part][:, None] == c[None, :]
+        same[(own[part][:, None] == own[None, :]) | ((blocks[part][:, None] == blocks[None, :]) & (not alone))] = 0
+        for i, row in zip(part, same, strict=True):
+            good = np.flatnonzero(row >= least)
+            if len(good) > most:
+                more = True
+                good = good[np.argsort(-row[good].astype(np.int64), kind="stable")[:most]]
+            left.append(np.full(len(good), i))
+            right.append(good)
+    return np.concatenate(left), np.concatenate(right), more
+
+
 def _verified(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
     for a, b in pairs:
@@ -161,15 +189,41 @@ def _first_pairs(groups: DataFrame) -> DataFrame:
     return _ordered(groups.join(pivots, "key").filter("node <> pivot"))
 
 
-def _more_pairs(groups: DataFrame, turn: int) -> DataFrame:
-    """Pairs a < b between classes of a group: each member with the pivots of up to PIVOTS ** turn other classes.
+def _distinct_groups(keyed: DataFrame) -> DataFrame:
+    """Groups (key, node) of two nodes at least, those of equal members once."""
+    prints = [F.bit_xor(F.xxhash64(F.lit(i), "node")) for i in range(2)]
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.struct(F.min("node"), F.max("node"), *prints).alias("print"))
+    return keyed.join(sizes.filter("n > 1").groupBy("n", "print").agg(F.min("key").alias("key")).select("key"), "key")
 
-    Pivots are drawn by hash, anew in each turn. A group's pairs are its members times the pivots, never their square.
+
+def _likely_pairs(groups: DataFrame, signatures: DataFrame, most: int, block: int) -> DataFrame:
+    """Likely pairs a < b of different classes in a group, of each member and pair of blocks the best ``most``.
+
+    A pair of nulls says that some were left out. A group of n members is compared as pairs of blocks of about ``block``
+    members in as many tasks; rows grow with n * n / block.
     """
-    of_class = groups.groupBy("key", "label").agg(F.min_by("node", F.xxhash64(F.lit(turn), "node")).alias("pivot"))
-    drawn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.lit(turn), "label"), "label"))
-    pivots = of_class.withColumn("_n", drawn).filter(F.col("_n") <= PIVOTS**turn).select("key", F.col("label").alias("other"), "pivot")
-    return _ordered(groups.join(pivots, "key").filter("label <> other"))
+    sizes = groups.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("_blocks"))
+    dealt = groups.join(sizes, "key").withColumn("_own", F.pmod(F.xxhash64("node"), "_blocks"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    dealt = dealt.withColumn("_lo", F.least("_own", "_other")).withColumn("_hi", F.greatest("_own", "_other"))
+    dealt = dealt.join(signatures, "node").select("key", "_lo", "_hi", "node", "label", "_own", "signature")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        each = (r for b in batches for r in zip(*(b[c] for c in ("key", "_lo", "_hi", "node", "label", "_own", "signature")), strict=True))
+        for _, group in itertools.groupby(each, key=lambda r: r[:3]):
+            part = list(group)
+            nodes, labels, own = (np.array([r[i] for r in part], np.int64) for i in (3, 4, 5))
+            if labels.min() == labels.max():
+                continue
+            left, right, more = likely_partners(labels, np.stack([np.frombuffer(r[6], np.uint16) for r in part]), own, most)
+            a, b = np.minimum(nodes[left], nodes[right]), np.maximum(nodes[left], nodes[right])
+            for at in range(0, len(a), 1 << 16):
+                yield pd.DataFrame({"a": pd.array(a[at : at + (1 << 16)], "Int64"), "b": pd.array(b[at : at + (1 << 16)], "Int64")})
+            if more:
+                yield pd.DataFrame({"a": pd.array([None], "Int64"), "b": pd.array([None], "Int64")})
+
+    dealt = dealt.repartition("key", "_lo", "_hi").sortWithinPartitions("key", "_lo", "_hi", "node")
+    return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -183,7 +237,7 @@ def _undecided(groups: DataFrame, labels: DataFrame) -> DataFrame:
     return now.join(mixed, "key", "left_semi")
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, block: int = BLOCK, partners: int = PARTNERS) -> DataFrame:
     """Per row of ``docs``: doc_id and class_id (the least doc_id of its class)."""
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", identity(docs).alias("_id"), F.md5(F.col("text").cast("binary")).alias("_print"))
@@ -196,31 +250,28 @@ def classes(docs: DataFrame) -> DataFrame:
     several = member.groupBy("_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("_id", "a")
     linked = stored(member.join(several, "_id").filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "linked")
 
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    busy = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    groups = stored(keyed.join(busy, "key").distinct(), "groups")
+    groups = stored(_distinct_groups(nodes.select("node", F.explode("keys").alias("key")).distinct()), "groups")
     signatures = nodes.select("node", "signature")
-    tested = labels = None
-    for turn in range(MAX_ROUNDS + 1):
-        if turn:
-            groups = stored(_undecided(groups, labels), "groups")
-            pairs = _more_pairs(groups, turn).join(tested, ["a", "b"], "left_anti")
-        else:
-            pairs = _first_pairs(groups)
-        told = pairs.join(signatures.toDF("b", "sb"), "b").join(signatures.toDF("a", "sa"), "a")
-        likely = stored(told.filter(F.pandas_udf(_agreeing, "double")("sa", "sb") >= AGREE).select("a", "b"), "pairs")
-        if likely.isEmpty():
+    pairs = _first_pairs(groups)
+    told = pairs.join(signatures.toDF("b", "sb"), "b").join(signatures.toDF("a", "sa"), "a")
+    likely = stored(told.filter(F.pandas_udf(_agreeing, "double")("sa", "sb") >= AGREE).select("a", "b"), "pairs")
+    tested, labels, most, more = likely, None, partners, True
+    while True:
+        if labels is None or not likely.isEmpty():
+            asked = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct().join(nodes.select("node", "_print"), "node")
+            texts = stored(rows.join(asked.withColumnRenamed("node", "_id"), ["_id", "_print"], "left_semi").select("_id", "text"), "texts")
+            both = likely.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
+            found = both.filter(F.pandas_udf(_verified, "double")("ta", "tb") >= SIMILARITY).select("a", "b")
+            linked = stored(linked.union(found).distinct(), "linked")
+            labels = components(linked)
+        if not more:
             break
-        if turn == MAX_ROUNDS:
-            raise RuntimeError("candidate groups still hold untested pairs")
-        tested = likely if tested is None else stored(tested.union(likely), "tested")
-        asked = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct().join(nodes.select("node", "_print"), "node")
-        texts = stored(rows.join(asked.withColumnRenamed("node", "_id"), ["_id", "_print"], "left_semi").select("_id", "text"), "texts")
-        both = likely.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
-        found = both.filter(F.pandas_udf(_verified, "double")("ta", "tb") >= SIMILARITY).select("a", "b")
-        linked = stored(linked.union(found).distinct(), "linked")
-        labels = components(linked)
-    labels = components(linked) if labels is None else labels
+        groups = stored(_undecided(groups, labels), "groups")
+        drawn = stored(_likely_pairs(groups, signatures, most, block), "drawn")
+        more = not drawn.filter("a is null").isEmpty()
+        likely = stored(drawn.filter("a is not null").join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = stored(tested.union(likely), "tested")
+        most *= partners
     return member.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"))
 
 

@@ -237,6 +237,22 @@ def test_sketch_is_safe_for_repeated_lines():
     assert (np.frombuffer(sa, np.uint16) == np.frombuffer(sb, np.uint16)).mean() >= near_dup.AGREE and set(ka) & set(kb)
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_no_pair_of_a_group_is_left_untested(spark, block):
+    """Any single likely pair of a group of 40 classes is found, whichever members it joins."""
+    rng = np.random.default_rng(3)
+    rows, expected = [], set()
+    for key in range(20):
+        signatures = rng.integers(0, 1 << 16, (40, near_dup.COMPONENTS)).astype(np.uint16)
+        x, y = sorted(rng.choice(40, 2, replace=False).tolist())
+        signatures[y, :90] = signatures[x, :90]
+        rows += [(key, 100 * key + i, 100 * key + i, bytearray(s.tobytes())) for i, s in enumerate(signatures)]
+        expected.add((100 * key + x, 100 * key + y))
+    groups = spark.createDataFrame(rows, "key long, node long, label long, signature binary")
+    found = near_dup._likely_pairs(groups.drop("signature"), groups.select("node", "signature"), 8, block)
+    assert {tuple(r) for r in found.collect()} == expected
+
+
 # decontamination and packing
 
 
