@@ -253,6 +253,30 @@ def test_no_pair_of_a_group_is_left_untested(spark, block):
     assert {tuple(r) for r in found.collect()} == expected
 
 
+def look_alikes(rng, name, size, bridge):
+    """Two classes of variants, all pairs of which look alike; a bridge of two texts links them by one pair alone."""
+    base = [f"{name}{i}" for i in range(300)]
+    between = lambda n: base[:125] + [f"{name}other{i}" for i in range(n)] + base[125 + n :]
+    out = []
+    for k in range(size):
+        for own in between(0), between(34):
+            own[int(rng.integers(0, 100))] = f"{name}own{k}"
+            out.append(" ".join(own))
+    for own in (between(11), between(23)) if bridge else ():
+        own[30] = own[60] = f"{name}bridge"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("size, bridge, limits", [(150, True, {}), (150, False, {}), (30, True, {"block": 20, "partners": 2})])
+def test_all_pairs_of_look_alikes_are_decided(spark, size, bridge, limits):
+    rows = list(enumerate(look_alikes(np.random.default_rng(5), "p", size, bridge), 1))
+    expected = brute_classes(rows)
+    assert len({c for _, c in expected}) == 2 - bridge
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in near_dup.classes(docs, **limits).collect()) == expected
+
+
 # decontamination and packing
 
 
