@@ -10,7 +10,7 @@ notices, adverts, forms or comments are left out; an article or main element, wh
 Outside an article, blocks whose words all belong to the template, and blocks of links, are left out too.
 
 Defined results: a null or empty html has an empty text; a null url counts as a host of its own; repeated rows each get
-a row; pages whose host has too few others go by their own structure alone. An empty table gives none.
+a row; equal pages count once in a template and each gets its text; pages whose host has too few others go by their own structure alone. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -227,9 +227,10 @@ def main_text(page: Page, template: set[tuple[str, str]]) -> str:
 
 def extract_block(pages: list[str | None]) -> list[str]:
     """The main texts of a block of pages of one host."""
-    parsed = [parse(p) for p in pages]
-    template = {t for c in classes(parsed) for t in c.tokens} if len(parsed) >= SUPPORT else set()
-    return [main_text(p, template) for p in parsed]
+    parsed = {p: parse(p) for p in dict.fromkeys(pages)}
+    distinct = list({tuple(p.tokens): p for p in parsed.values()}.values())
+    template = {t for c in classes(distinct) for t in c.tokens} if len(distinct) >= SUPPORT else set()
+    return [main_text(parsed[p], template) for p in pages]
 
 
 def host_of(url: Column) -> Column:

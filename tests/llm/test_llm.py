@@ -175,6 +175,12 @@ def test_classes_are_the_template():
     assert {"Same", "words", "here"} <= {t for c in found for _, t in c.tokens} and any(c.vector == (1, 2, 3, 4, 5, 6) for c in found)
 
 
+def test_copies_keep_their_text():
+    page = "<body><h1>Big title</h1><p>Short text here</p></body>"
+    assert html_extract.extract_block([page] * 3) == ["Big title Short text here"] * 3
+    assert html_extract.extract_block([page, None, page, page + "<!-- again -->"]) == ["Big title Short text here", "", *["Big title Short text here"] * 2]
+
+
 # near duplicates
 
 
