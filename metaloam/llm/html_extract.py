@@ -7,7 +7,7 @@ used. Valid classes are the block's template, and the gaps between template toke
 
 Slots are read by where the template places them: those inside elements that hold menus, headers, footers, sidebars,
 notices, adverts, forms or comments are left out; an article or main element, where there is one, holds the main text.
-Outside an article, blocks whose words all belong to the template, and blocks of links, are left out too.
+Blocks whose words all belong to the template are left out everywhere; without an article, blocks of links too.
 
 Defined results: a null or empty html has an empty text; a null url counts as a host of its own; repeated rows each get
 a row; equal pages count once in a template and each gets its text; pages whose host has too few others go by their own structure alone. An empty table gives none.
@@ -199,12 +199,12 @@ def classes(pages: list[Page], support: int = SUPPORT, least: int = CLASS_SIZE)
 
 
 def slots(page: Page, template: set[tuple[str, str]]) -> Iterator[Text]:
-    """The runs of text that stand in slots of main text. Without an article, blocks of template words or links go."""
+    """The runs of text that stand in slots of main text. Blocks of template words go; without an article, of links too."""
     has_main = any(t.main and not t.aside and t.text.strip() for t in page.texts)
     sizes: Counter[int] = Counter()
     linked: Counter[int] = Counter()
     fixed: Counter[int] = Counter()
-    for t in page.texts if not has_main else ():
+    for t in page.texts:
         words = t.text.split()
         sizes[t.block] += len(words)
         linked[t.block] += len(words) * t.link
@@ -212,7 +212,7 @@ def slots(page: Page, template: set[tuple[str, str]]) -> Iterator[Text]:
     for t in page.texts:
         if t.aside or (has_main and not t.main):
             continue
-        if sizes[t.block] and (fixed[t.block] == sizes[t.block] or 2 * linked[t.block] > sizes[t.block]):
+        if sizes[t.block] and (fixed[t.block] == sizes[t.block] or not has_main and 2 * linked[t.block] > sizes[t.block]):
             continue
         yield t
 

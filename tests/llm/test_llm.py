@@ -181,6 +181,11 @@ def test_copies_keep_their_text():
     assert html_extract.extract_block([page, None, page, page + "<!-- again -->"]) == ["Big title Short text here", "", *["Big title Short text here"] * 2]
 
 
+def test_template_inside_an_article():
+    pages = [f"<body><article><h1>Title{i}</h1><p>Own words{i} of page{i}</p><div><p>Read our letter daily</p></div><p>The end{i}</p></article></body>" for i in range(6)]
+    assert html_extract.extract_block(pages) == [f"Title{i} Own words{i} of page{i} The end{i}" for i in range(6)]
+
+
 # near duplicates
 
 
