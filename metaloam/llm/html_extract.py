@@ -3,7 +3,9 @@
 Pages of one host are dealt into blocks of bounded size. In a block, tokens (tags and words, each with the path of
 elements around it) with the same vector of occurrences over the pages form an equivalence class. A class is valid if its
 tokens stand in the same order in each page that has it, and classes nest: a class lies in one gap of another, or isn't
-used. Valid classes are the block's template, and the gaps between template tokens are its slots.
+used. Its tokens occur in half of the pages, and three, at least: fewer pages may share a passage of main text. Classes are
+deduced from the whole block, and again from its pages of each layout (equal containers), so that a layout of few pages has
+a template too. Valid classes are the page's template, and the gaps between template tokens are its slots.
 
 Slots are read by where the template places them: those inside elements that hold menus, headers, footers, sidebars,
 notices, adverts, forms or comments are left out; an article or main element, where there is one, holds the main text.
@@ -32,7 +34,7 @@ from metaloam.llm.common import ascii_lower, bounded_batches, table
 BLOCK_PAGES = 48
 #: Hosts with more pages than a block whose list is broadcast at most.
 BROADCAST_HOSTS = 200_000
-#: Pages that a class must occur in, and tokens that it must have.
+#: Pages that a class must occur in (and half of those it is deduced from), and tokens that it must have.
 SUPPORT, CLASS_SIZE = 3, 3
 
 #: Fixed values of HTML.
@@ -225,12 +227,27 @@ def main_text(page: Page, template: set[tuple[str, str]]) -> str:
     return " ".join(x for x in joined if x)
 
 
+def layout(page: Page) -> frozenset[tuple[str, str]]:
+    """The containers of a page, with their paths and attributes."""
+    return frozenset(t for t in page.tokens if t[1].startswith(("<div", "<section")))
+
+
+def deduce(pages: list[Page]) -> set[tuple[str, str]]:
+    """The template of pages; none of fewer than SUPPORT."""
+    return {t for c in classes(pages) for t in c.tokens} if len(pages) >= SUPPORT else set()
+
+
 def extract_block(pages: list[str | None]) -> list[str]:
     """The main texts of a block of pages of one host."""
     parsed = {p: parse(p) for p in dict.fromkeys(pages)}
     distinct = list({tuple(p.tokens): p for p in parsed.values()}.values())
-    template = {t for c in classes(distinct) for t in c.tokens} if len(distinct) >= SUPPORT else set()
-    return [main_text(parsed[p], template) for p in pages]
+    alike: dict[frozenset, list[Page]] = {}
+    for p in distinct:
+        alike.setdefault(layout(p), []).append(p)
+    common = deduce(distinct)
+    own = {k: common | deduce(v) if len(v) < len(distinct) else common for k, v in alike.items()}
+    made = {k: main_text(p, own[layout(p)]) for k, p in parsed.items()}
+    return [made[p] for p in pages]
 
 
 def host_of(url: Column) -> Column:

@@ -186,6 +186,16 @@ def test_template_inside_an_article():
     assert html_extract.extract_block(pages) == [f"Title{i} Own words{i} of page{i} The end{i}" for i in range(6)]
 
 
+@pytest.mark.parametrize("kinds", [1, 2, 4, 12])
+def test_each_layout_of_a_large_host_has_a_template(kinds):
+    pages = []
+    for i in range(48):
+        k = i % kinds
+        notice = f"<p>Kind{k} pages{k} are{k} printed{k}</p>"
+        pages.append(f"<body>{'<div>' * (k + 1)}{notice}<h1>Title{i}</h1><p>Own words{i} of page{i}</p>{'</div>' * (k + 1)}</body>")
+    assert html_extract.extract_block(pages) == [f"Title{i} Own words{i} of page{i}" for i in range(48)]
+
+
 # near duplicates
 
 
