@@ -10,6 +10,7 @@ def closure(edges: DataFrame, deepest: int = 64) -> DataFrame:
     """node, ancestor and least distance, for all nodes of ``edges`` (child, parent); each node is its own at distance 0.
 
     Distances double in each round: paths of up to 2^k steps are joined to those of up to 2^k. Cycles end at their length.
+    A graph with least distances beyond ``deepest`` is refused.
     """
     nodes = edges.select(F.col("child").alias("node")).union(edges.select("parent")).distinct()
     paths = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")).union(edges.select("child", "parent", F.lit(1)))
@@ -24,6 +25,11 @@ def closure(edges: DataFrame, deepest: int = 64) -> DataFrame:
         if n == known:
             break
         known = n
+    else:
+        last = paths.filter(F.col("distance") == reach).select("node", F.col("ancestor").alias("child"))
+        farther = last.join(edges, "child").select("node", F.col("parent").alias("ancestor"))
+        if not farther.join(paths, ["node", "ancestor"], "left_anti").isEmpty():
+            raise ValueError(f"ancestors farther than {reach} steps")
     return paths
 
 

@@ -1,7 +1,9 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from metaloam.operators import batches, calibration, graph, models, tables
+from metaloam.catalogue import QUERIES
+from metaloam.operators import batches, calibration, graph, hierarchy, models, tables
 from metaloam.sources import records, sinks
 from metaloam.streaming import incremental
 
@@ -126,3 +128,16 @@ def test_stream_runs_until_all_is_read(spark, rows, tmp_path):
     spark.createDataFrame([(1,), (5,)], "k long").write.mode("append").parquet(source)
     incremental.run_available(*args)
     assert rows(spark.read.parquet(target)) == [(1, 2), (5, 6)]
+
+
+def test_closure_refuses_what_it_would_lose(spark):
+    chain = lambda n: spark.createDataFrame([(i, i + 1) for i in range(n)], "child long, parent long")
+    assert hierarchy.closure(chain(8), 8).count() == 9 * 10 // 2
+    with pytest.raises(ValueError):
+        hierarchy.closure(chain(9), 8)
+
+
+def test_welch_takes_all_groups(spark, tmp_path):
+    orders = spark.range(360).selectExpr("concat('p', id % 120) o_orderpriority", "cast(id * id % 97 as double) o_totalprice")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    assert QUERIES["welch_by_priority"](spark, str(tmp_path)).count() == 120 * 119 // 2
