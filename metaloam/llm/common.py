@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metaloam.operators.shared import discard, shared_folder, stored  # noqa: F401  the operators take them from here
+
 #: Rows in an Arrow batch: bounds a Python worker's memory when texts are long.
 BATCH_ROWS = 256
 
@@ -16,28 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Let Python workers get at most so many rows at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is missing (a local session, as in tests), a folder of the warehouse is used.
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Python workers get at most BATCH_ROWS rows at once. One bound for all operators of a session, and one that is
+    only ever lowered, so a frame that runs later runs with it too.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_metaloam"
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    to = shared_folder(spark, purpose)
-    df.write.parquet(to)
-    return spark.read.schema(df.schema).parquet(to)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def held_out(doc_id: Column) -> Column:
