@@ -5,14 +5,19 @@ elements around it) with the same vector of occurrences over the pages form an e
 tokens stand in the same order in each page that has it, and classes nest: a class lies in one gap of another, or isn't
 used. Its tokens occur in half of the pages, and three, at least: fewer pages may share a passage of main text. Classes are
 deduced from the whole block, and again from its pages of each layout (equal containers), so that a layout of few pages has
-a template too. Valid classes are the page's template, and the gaps between template tokens are its slots.
-
-Slots are read by where the template places them: those inside elements that hold menus, headers, footers, sidebars,
-notices, adverts, forms or comments are left out; an article or main element, where there is one, holds the main text.
-Blocks whose words all belong to the template are left out everywhere; without an article, blocks of links too.
-
-Defined results: a null or empty html has an empty text; a null url counts as a host of its own; repeated rows each get
-a row; equal pages count once in a template and each gets its text; pages whose host has too few others go by their own structure alone. An empty table gives none.
+a template too. The template is the tree of valid classes, each in its gap of the class around it; the stretches of a page
+between its template tokens are the slots, and the text is what stands in slots. A block (paragraph, heading, cell) that a
+slot reaches into is taken whole; one of template words alone has no slot and is left out, inside an article too.
+
+Slots are read by where they lie: those inside elements that hold menus, headers, footers, sidebars, notices, adverts,
+forms or comments are left out, by element, role or name; an article or main element, where there is one, holds the main
+text, and inside it fewer names count. Without one, runs of two blocks or more that are links alone are a menu.
+
+Defined results: a null or empty html has an empty text; a null url, and one without ``://``, belongs to the host ''.
+Repeated rows each get a row; equal pages count once in a template and each gets its text; pages whose host has too few
+others go by their own structure alone; so do rows of one page_id and url beyond a block's size, which are dealt to blocks
+of their own. Pages of any length are taken whole, one at a time beside their tokens. Extra columns are ignored. An empty
+table gives none.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from __future__ import annotations
 import html as entities
 import itertools
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaloam.llm.common import ascii_lower, bounded_batches, table
+from metaloam.llm.common import ascii_lower, bounded_batches, stored, table
 
 #: Pages of a host that one template is deduced from, in the mean.
 BLOCK_PAGES = 48
@@ -39,29 +45,33 @@ SUPPORT, CLASS_SIZE = 3, 3
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math title object canvas".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark math object q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr".split())
+RAW = frozenset("script style noscript template textarea iframe title".split())
 #: Elements that hold no main text, and names of classes and ids that say so.
 ASIDE = frozenset("nav aside footer form button select option dialog menu head fieldset datalist".split())
 MAIN = frozenset(("article", "main"))
 SAYS_ASIDE = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments reply replies respond disqus discussion share sharing social related recommended recommendations widget widgets search pagination pager copyright masthead topbar toolbar skip feedback rating".split()
+    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices popup modal overlay newsletter sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus masthead topbar toolbar".split()
 )
+#: Names that say so only outside an article, and only if all parts of the name are such or structural.
+MAY_ASIDE = frozenset("subscribe subscription signup login alert alerts reply replies respond discussion share sharing social related recommended recommendations widget widgets search pagination pager copyright skip feedback rating".split())
+STRUCTURAL = frozenset("bar bars box boxes list lists link links button buttons container wrapper section block area icons items content inner main post page".split())
 SAYS_HEADER = frozenset("header head masthead".split())
 SAYS_MAIN = frozenset("main article content body container wrapper layout page post entry story text".split())
 ROLES_ASIDE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 _TAG = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([A-Za-z:_-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_END = re.compile(r"</([A-Za-z][^\s/>]*)\s*>")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 @dataclass
 class Text:
-    """A run of text: its block, its path, and what the elements around it are."""
+    """A run of text: its block, where its words begin among the page's tokens, and what the elements around it are."""
 
     block: int
-    path: str
+    first: int
     text: str
     aside: bool
     main: bool
@@ -70,8 +80,11 @@ class Text:
 
 @dataclass
 class Page:
+    """``tokens``: the path of elements (as a number) and a tag or word each. ``containers``: those that make a layout."""
+
     texts: list[Text] = field(default_factory=list)
-    tokens: list[tuple[str, str]] = field(default_factory=list)
+    tokens: list[tuple[int, str]] = field(default_factory=list)
+    containers: set[tuple[int, str]] = field(default_factory=set)
 
 
 def _aside(name: str, attributes: str, in_main: bool) -> bool:
@@ -89,24 +102,26 @@ def _aside(name: str, attributes: str, in_main: bool) -> bool:
             names = {x.lower() for x in _NAME.findall(one)}
             if names & SAYS_ASIDE and not names & {"has", "with", "no", "without"} and not (names & SAYS_MAIN and names & SAYS_ASIDE <= {"sidebar", "widget", "nav", "menu"}):
                 return True
-            if names & SAYS_HEADER and not in_main and name not in ("h1", "h2", "h3"):
+            if not in_main and (names & MAY_ASIDE and names <= MAY_ASIDE | STRUCTURAL or names & SAYS_HEADER and name not in ("h1", "h2", "h3")):
                 return True
     return False
 
 
 def parse(page: str | None) -> Page:
-    """Texts and tokens of a whole page in order; tolerates elements that are not closed."""
+    """Texts and tokens of a whole page in order; tolerates elements that are not closed. Time grows with its length."""
     out, page = Page(), page or ""
-    low = page.lower()
+    ends: dict[str, list[tuple[int, int]]] = {}
+    for m in _END.finditer(page):
+        ends.setdefault(m[1].lower(), []).append(m.span())
     # stack of (name, path, aside, main, link)
-    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
+    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
     at, block = 0, 0
 
     def text(end: int) -> None:
         if end > at:
             _, path, aside, main, link = stack[-1]
             run = entities.unescape(page[at:end])
-            out.texts.append(Text(block, path, run, aside, main, link))
+            out.texts.append(Text(block, len(out.tokens), run, aside, main, link))
             out.tokens.extend((path, w) for w in run.split())
 
     while got := _TAG.search(page, at):
@@ -117,8 +132,8 @@ def parse(page: str | None) -> Page:
             continue
         if name == "br":  # white space within the block
             _, path, aside, main, link = stack[-1]
-            out.texts.append(Text(block, path, " ", aside, main, link))
-        elif name not in INLINE:
+            out.texts.append(Text(block, len(out.tokens), " ", aside, main, link))
+        elif name not in INLINE and name not in RAW:
             block += 1
         if got[1] or got[4]:
             for i in range(len(stack) - 1, 0, -1):
@@ -135,19 +150,23 @@ def parse(page: str | None) -> Page:
                 if i >= len(stack) or stack[i][0] not in INLINE:
                     break
         _, path, aside, main, link = stack[-1]
-        path = f"{path}/{name}" if len(path) < 400 else path
-        out.tokens.append((path, f"<{name}{' ' + attributes.strip() if name in ('div', 'section', 'ul', 'table') else ''}>"))
+        path = hash((path, name))
+        holds = name in ("div", "section", "ul", "table")
+        out.tokens.append((path, f"<{name}{' ' + attributes.strip() if holds else ''}>"))
+        if name in ("div", "section"):
+            out.containers.add(out.tokens[-1])
+        own = ends.get(name, [])
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>").search(low, at)
-            if end:
-                at = end.end()
+            i = bisect_left(own, (at, 0))
+            if i < len(own):
+                at = own[i][1]
             elif name in ("script", "style"):
                 at = len(page)
             continue
         if name in VOID or attributes.endswith("/"):
             continue
         if not aside and _aside(name, attributes, main):
-            aside = low.find(f"</{name}", at) >= 0  # one that is never closed would hold the whole rest
+            aside = bool(own) and own[-1][0] >= at  # one that is never closed would hold the whole rest
         stack.append((name, path, aside, main or name in MAIN, link or name == "a"))
     text(len(page))
     return out
@@ -155,71 +174,113 @@ def parse(page: str | None) -> Page:
 
 @dataclass
 class EquivalenceClass:
+    """Tokens in their order, how often each page has them, and the class and gap (after its token of that number) around
+    this one; None for a class that no other one holds.
+    """
+
     vector: tuple[int, ...]
-    tokens: list[tuple[str, str]]
+    tokens: list[tuple[int, str]]
+    parent: int | None = None
+    gap: int | None = None
 
 
 def classes(pages: list[Page], support: int = SUPPORT, least: int = CLASS_SIZE) -> list[EquivalenceClass]:
     """Valid, nested equivalence classes of a block of pages, the most frequent first."""
     counts = [Counter(p.tokens) for p in pages]
     spread = Counter(itertools.chain.from_iterable(counts))
-    groups: dict[tuple[int, ...], list[tuple[str, str]]] = {}
+    groups: dict[tuple[int, ...], list[tuple[int, str]]] = {}
     for token, n in spread.items():
         if n >= max(support, len(pages) // 2):
             groups.setdefault(tuple(c.get(token, 0) for c in counts), []).append(token)
-    valid = []
+    groups = {v: t for v, t in groups.items() if len(t) >= least}
+    wanted = set(itertools.chain.from_iterable(groups.values()))
+    places: list[dict[tuple[int, str], list[int]]] = []
+    for p in pages:
+        own: dict[tuple[int, str], list[int]] = {}
+        for i, t in enumerate(p.tokens):
+            if t in wanted:
+                own.setdefault(t, []).append(i)
+        places.append(own)
+    # a valid class and, per page, the places of all its tokens, ascending
+    valid: list[tuple[EquivalenceClass, list[list[int]]]] = []
     for vector, tokens in groups.items():
-        if len(tokens) < least:
-            continue
-        own, order, spans = set(tokens), None, []
-        for p, times in zip(pages, vector, strict=True):
-            if not times:
-                spans.append(None)
-                continue
-            where = [(i, t) for i, t in enumerate(p.tokens) if t in own]
-            seen = [t for _, t in where]
-            order = order or seen[: len(own)]
+        order, spans = None, []
+        for p, has, times in zip(pages, places, vector, strict=True):
+            where = sorted(itertools.chain.from_iterable(has[t] for t in tokens)) if times else []
+            seen = [p.tokens[i] for i in where]
+            order = order or seen[: len(tokens)]
             if seen != order * times:
                 break
-            spans.append((where[0][0], where[-1][0]))
+            spans.append(where)
         else:
             valid.append((EquivalenceClass(vector, order or []), spans))
     valid.sort(key=lambda v: (-sum(map(bool, v[0].vector)), sum(v[0].vector), -len(v[0].tokens)))
-    kept: list[tuple[EquivalenceClass, list]] = []
+    kept: list[tuple[EquivalenceClass, list[list[int]]]] = []
     for c, spans in valid:
-        gap: dict[int, set] = {}
-        for k, (_, outer) in enumerate(kept):
-            own = set(kept[k][0].tokens)
-            for p, a, b in zip(pages, spans, outer, strict=True):
-                if a and b and not (a[1] < b[0] or a[0] > b[1]):  # meets the other: each repeat must lie in one gap
-                    last = sum(t in own for t in p.tokens[: a[0]])
-                    inside = sum(t in own for t in p.tokens[a[0] : a[1] + 1])
-                    gap.setdefault(k, set()).add((last, inside > 0))
-        if all(sum(c.vector) > sum(v is not None for v in spans) or not any(inside for _, inside in g) for g in gap.values()):
+        fits = True
+        for k, (other, outer) in enumerate(kept):
+            gaps = set()
+            for a, b in zip(spans, outer, strict=True):
+                if a and b and not (a[-1] < b[0] or a[0] > b[-1]):  # meets the other: each repeat must lie in one gap
+                    for lo, hi in zip(a[:: len(c.tokens)], a[len(c.tokens) - 1 :: len(c.tokens)], strict=True):
+                        before = bisect_left(b, lo)
+                        if before != bisect_right(b, hi):
+                            fits = False
+                        if 0 < before < len(b):
+                            gaps.add((before - 1) % len(other.tokens))
+            if not fits or len(gaps) > 1:
+                fits = False
+                break
+            if gaps:  # the last one found is the innermost: classes come from the most frequent to the least
+                c.parent, c.gap = k, gaps.pop()
+        if fits:
             kept.append((c, spans))
     return [c for c, _ in kept]
 
 
-def slots(page: Page, template: set[tuple[str, str]]) -> Iterator[Text]:
-    """The runs of text that stand in slots of main text. Blocks of template words go; without an article, of links too."""
+@dataclass
+class Template:
+    """The tree of classes, as the number and place of each of its tokens."""
+
+    classes: list[EquivalenceClass] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self.place = {t: (k, i) for k, c in enumerate(self.classes) for i, t in enumerate(c.tokens)}
+
+    def slot_words(self, page: Page) -> list[bool]:
+        """For each token of a page whether it stands in a slot: not a template token."""
+        return [t not in self.place for t in page.tokens]
+
+    def __or__(self, other: Template) -> Template:
+        return Template([*self.classes, *other.classes])
+
+
+def slots(page: Page, template: Template) -> Iterator[Text]:
+    """The runs of text of the blocks that a slot of main text reaches into."""
     has_main = any(t.main and not t.aside and t.text.strip() for t in page.texts)
-    sizes: Counter[int] = Counter()
+    free = template.slot_words(page)
+    words: Counter[int] = Counter()
     linked: Counter[int] = Counter()
-    fixed: Counter[int] = Counter()
+    filled: Counter[int] = Counter()
     for t in page.texts:
-        words = t.text.split()
-        sizes[t.block] += len(words)
-        linked[t.block] += len(words) * t.link
-        fixed[t.block] += sum((t.path, w) in template for w in words)
-    for t in page.texts:
-        if t.aside or (has_main and not t.main):
-            continue
-        if sizes[t.block] and (fixed[t.block] == sizes[t.block] or not has_main and 2 * linked[t.block] > sizes[t.block]):
-            continue
-        yield t
-
-
-def main_text(page: Page, template: set[tuple[str, str]]) -> str:
+        n = len(t.text.split())
+        words[t.block] += n
+        linked[t.block] += n * t.link
+        filled[t.block] += sum(free[t.first : t.first + n])
+    shown = [t for t in page.texts if not t.aside and (t.main or not has_main)]
+    with_words = [b for b in dict.fromkeys(t.block for t in shown) if words[b]]
+    menu: set[int] = set()
+    if not has_main:
+        for alone, run in itertools.groupby(with_words, key=lambda b: linked[b] == words[b]):
+            own = list(run)
+            if alone and len(own) > 1:
+                menu.update(own)
+    for t in shown:
+        if t.block not in menu and (filled[t.block] or not words[t.block]):
+            yield t
+
+
+def main_text(page: Page, template: Template) -> str:
     blocks: dict[int, list[str]] = {}
     for t in slots(page, template):
         blocks.setdefault(t.block, []).append(t.text)
@@ -227,14 +288,9 @@ def main_text(page: Page, template: set[tuple[str, str]]) -> str:
     return " ".join(x for x in joined if x)
 
 
-def layout(page: Page) -> frozenset[tuple[str, str]]:
-    """The containers of a page, with their paths and attributes."""
-    return frozenset(t for t in page.tokens if t[1].startswith(("<div", "<section")))
-
-
-def deduce(pages: list[Page]) -> set[tuple[str, str]]:
+def deduce(pages: list[Page]) -> Template:
     """The template of pages; none of fewer than SUPPORT."""
-    return {t for c in classes(pages) for t in c.tokens} if len(pages) >= SUPPORT else set()
+    return Template(classes(pages) if len(pages) >= SUPPORT else [])
 
 
 def extract_block(pages: list[str | None]) -> list[str]:
@@ -243,10 +299,10 @@ def extract_block(pages: list[str | None]) -> list[str]:
     distinct = list({tuple(p.tokens): p for p in parsed.values()}.values())
     alike: dict[frozenset, list[Page]] = {}
     for p in distinct:
-        alike.setdefault(layout(p), []).append(p)
+        alike.setdefault(frozenset(p.containers), []).append(p)
     common = deduce(distinct)
     own = {k: common | deduce(v) if len(v) < len(distinct) else common for k, v in alike.items()}
-    made = {k: main_text(p, own[layout(p)]) for k, p in parsed.items()}
+    made = {k: main_text(p, own[frozenset(p.containers)]) for k, p in parsed.items()}
     return [made[p] for p in pages]
 
 
@@ -258,21 +314,28 @@ def extract(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
     """page_id, url and text of each row of ``pages`` (page_id, url, html). One shuffle of the pages, by block."""
     spark = pages.sparkSession
     bounded_batches(spark)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.col("html"), host_of(F.col("url")).alias("_host"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.col("html"), host_of(F.col("url")).alias("_host"), F.monotonically_increasing_id().alias("_place"))
     large = rows.groupBy("_host").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block_pages)
-    large = large.select("_host", F.ceil(F.col("_n") / block_pages).cast("long").alias("_salts")).persist()
+    large = large.select("_host", F.ceil(F.col("_n") / block_pages).cast("long").alias("_salts"))
+    large = stored(large, "large-hosts")
     few = large.count() <= BROADCAST_HOSTS
     salted = rows.join(F.broadcast(large) if few else large, "_host", "left")
     salted = salted.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("_salts", F.lit(1))))
+    # rows of one page_id and url would all have one salt: beyond a block's size they are dealt by their place in the table
+    often = rows.groupBy("page_id", "url").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block_pages)
+    often = stored(often.select(F.col("page_id").alias("_page"), F.col("url").alias("_url"), F.ceil(F.col("_n") / block_pages).cast("long").alias("_parts")), "repeated-pages")
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & F.col("url").eqNullSafe(F.col("_url"))
+    salted = salted.join(F.broadcast(often) if often.count() <= BROADCAST_HOSTS else often, same, "left")
+    salted = salted.withColumn("_part", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("_place"), "_parts")).otherwise(F.lit(-1).cast("long")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        each = ((r[0], r[1], r[2:]) for b in batches for r in zip(b["_host"], b["_salt"], b["page_id"], b["url"], b["html"], strict=True))
-        for _, group in itertools.groupby(each, key=lambda r: r[:2]):
+        each = ((*r[:3], r[3:]) for b in batches for r in zip(*(b[c] for c in ("_host", "_salt", "_part", "page_id", "url", "html")), strict=True))
+        for _, group in itertools.groupby(each, key=lambda r: r[:3]):
             while part := list(itertools.islice(group, 4 * block_pages)):
-                own = [r[2] for r in part]
+                own = [r[3] for r in part]
                 yield pd.DataFrame({"page_id": pd.array([None if pd.isna(r[0]) else int(r[0]) for r in own], "Int64"), "url": [r[1] for r in own], "text": extract_block([r[2] for r in own])})
 
-    dealt = salted.select("_host", "_salt", "page_id", "url", "html").repartition("_host", "_salt").sortWithinPartitions("_host", "_salt", "page_id", "url")
+    dealt = salted.select("_host", "_salt", "_part", "page_id", "url", "html").repartition("_host", "_salt", "_part").sortWithinPartitions("_host", "_salt", "_part", "page_id", "url")
     return dealt.mapInPandas(run, "page_id long, url string, text string")
 
 
