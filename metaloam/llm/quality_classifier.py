@@ -6,9 +6,11 @@ The score is ``sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if
 The model is fitted on the driver from at most about ``max_rows`` labelled rows (a hash sample of the label table);
 it has a fixed size and is broadcast. Scoring covers every row.
 
-Defined results: null and empty texts are scored as texts without words; repeated rows each get a row; labels that are
-null are not used, repeated labels of an id count once with their largest value; without usable labels, or with one
-class only, all scores equal the smoothed share of label 1. An empty table gives no rows.
+Defined results: null and empty texts are scored as texts without words, and texts of any length whole; repeated rows each
+get a row; labels that are null are not used, repeated labels of an id count once with their largest value, and of the
+rows of one id the least text is learned from; without usable labels, or with one class only, all scores equal the
+smoothed share of label 1. A score equal to the threshold (a tie) is kept. An empty table gives no rows. Extra columns
+are kept by ``keep``, whatever their names, and otherwise ignored.
 """
 
 from __future__ import annotations
@@ -146,7 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     chosen = hash_sample(usable, F.col("doc_id"), F.lit(min(1.0, max_rows / max(n, 1)))).groupBy("doc_id").agg(F.max("label").alias("label"))
     # chosen has about max_rows rows whatever the size of the tables
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    made = rows.mapInPandas(lambda b: _featured_with_id(b), "doc_id long, label double, at binary, x binary").toPandas().sort_values(["doc_id", "label", "x"], ignore_index=True)
+    # of the rows of one id the one with the least text: no id sends more than one to the driver
+    rows = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
+    made = rows.mapInPandas(lambda b: _featured_with_id(b), "doc_id long, label double, at binary, x binary").toPandas().sort_values("doc_id", ignore_index=True)
     pairs = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32)) for a, x in zip(made["at"], made["x"], strict=True)]
     return FactorisationMachine.fit(pairs, made["label"].to_numpy(np.float64))
 
