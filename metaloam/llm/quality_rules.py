@@ -5,8 +5,8 @@ where rule *i* failed. A policy is a named set of rules, so verdicts of any poli
 operations on the stored integer, without reading a text again.
 
 Defined results: a null text is measured as a text without words; an empty text likewise (it fails ``few_words``).
-Repeated rows each get their own row. Extra columns pass through; the ledger's columns replace ones of the same name.
-An empty table gives an empty ledger.
+Texts of any length are measured whole. Repeated rows (ties) each get their own row. Extra columns pass through; the
+ledger's columns replace ones of the same name. An empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -109,8 +109,11 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the measurements, ``failures`` (a bit for each failed rule) and no other change."""
     bounded_batches(docs.sparkSession)
     measured = F.pandas_udf(_measured, T.StructType([T.StructField(n, T.LongType()) for n in MEASURES]))
-    out = docs.withColumn("_measured", measured(F.col(text)))
-    out = out.withColumns({n: F.col("_measured")[n] for n in MEASURES}).drop("_measured")
+    own = "_measured"
+    while own in docs.columns:
+        own += "_"
+    out = docs.withColumn(own, measured(F.col(text)))
+    out = out.withColumns({n: F.col(own)[n] for n in MEASURES}).drop(own)
     bits = [F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)) for r in RULES]
     failures = bits[0]
     for b in bits[1:]:
@@ -149,3 +152,35 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = apply_policy(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
     base = F.col("failures").bitwiseAND(F.lit(policy_mask("base"))) != 0
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failures")
+
+
+def _sql() -> str:
+    space, not_space = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
+    bits = " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in RULES)
+    return f"""
+WITH split AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+        list_filter(regexp_split_to_array(coalesce(text, ''), '{space}'), lambda x: x <> '') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{not_space}')) AS l
+    FROM documents
+), windows AS (
+    SELECT r, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM split WHERE len(w) >= {WINDOW})
+), again AS (
+    SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM windows) WHERE n > 1
+), repeated AS (
+    SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + {WINDOW})) AS p FROM again) GROUP BY r
+), measured AS (
+    SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{space}', '', 'g'))::BIGINT AS word_chars,
+        (length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')))::BIGINT AS n_symbols,
+        (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+        len(l)::BIGINT AS n_lines,
+        len(list_filter(w, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]')))::BIGINT AS n_shouted,
+        len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::BIGINT AS n_adjacent,
+        (length(t) - length(replace(t, '!', '')))::BIGINT AS n_bangs
+    FROM split LEFT JOIN repeated USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & {policy_mask("base")} <> 0 AS base_failed, failures & {policy_mask("v1")} = 0 AS kept, failures
+FROM (SELECT *, ({bits})::BIGINT AS failures FROM measured)"""
+
+
+SQL = _sql()

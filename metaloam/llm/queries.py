@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from metaloam.llm import chat_format, decontaminate
+from metaloam.llm import chat_format, decontaminate, quality_rules
 from metaloam.llm.chat_format import op1_chat_format
 from metaloam.llm.decontaminate import op8_decontaminate
 from metaloam.llm.html_extract import op10_html_extract
@@ -26,4 +26,4 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_html_extract": op10_html_extract,
 }
-SQL = {"op1_chat_format": chat_format.SQL, "op8_decontaminate": decontaminate.SQL}
+SQL = {"op1_chat_format": chat_format.SQL, "op7_quality_rules": quality_rules.SQL, "op8_decontaminate": decontaminate.SQL}
