@@ -10,7 +10,8 @@ Defined results: null texts and roles count as empty strings; roles that the tem
 loss and make the conversation invalid; conversations with a wrong order are formatted too, with ``valid`` false and the
 first offending place in ``first_error`` (else null). Turns sort by turn, role, text (null turns first), so ties and
 repeated rows have one defined order and repeated rows stay repeated turns. Rows with a null conv_id form one
-conversation. Extra columns are not used. An empty table gives none.
+conversation. Texts of any length are formatted whole. Extra columns are not used. An empty table gives none. A
+conversation is one row of the result, so one task gathers its turns, and its size is bounded by that of a row.
 """
 
 from __future__ import annotations

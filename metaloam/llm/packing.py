@@ -9,8 +9,10 @@ largest slot first. The plan is made on the driver from the histogram alone.
 Pieces get their places without any large group: each slot's pieces are numbered by prefix sums over hash buckets, and a
 piece's number looks up its sequence in the plan (broadcast; its size is bounded by the number of combinations).
 
-Defined results: a null or empty text is a document of the end token alone. Repeated rows are packed each. Extra columns
-are not used. An empty table gives no pieces.
+Defined results: a null or empty text is a document of the end token alone; texts of any length are cut whole. Repeated
+rows are packed each; pieces of one slot (ties) are numbered by ``_piece``. Extra columns of documents are not used, those
+of pieces pass through, whatever their names. An empty table gives no pieces. The least squares end early after ``rounds``
+columns; what they leave is packed greedily like any remainder, so no piece is lost, and ``plan`` stays whole.
 """
 
 from __future__ import annotations
@@ -155,7 +157,9 @@ def slot_of(length, window: int = WINDOW):
 def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     """``pieces`` (with _piece, a unique number, and length) with sequence_id and offset. Reads them twice."""
     spark = pieces.sparkSession
-    slotted = pieces.withColumn("_slot", slot_of(F.col("length"), window))
+    names = [c for c in pieces.columns if c != "_piece"]
+    own = pieces.select(F.struct(*names).alias("_own"), "_piece", F.col("length").alias("_length"))
+    slotted = own.withColumn("_slot", slot_of(F.col("_length"), window))
     histogram = {r["_slot"]: r["n"] for r in slotted.groupBy("_slot").agg(F.count(F.lit(1)).alias("n")).collect()}
     buckets = 1 + sum(histogram.values()) // BUCKET_ROWS
     intervals: dict[int, list[tuple[int, int, int]]] = {}
@@ -185,9 +189,10 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     within = F.row_number().over(Window.partitionBy("_slot", "_bucket").orderBy("_piece"))
     numbered = salted.withColumn("_within", within).join(before, ["_slot", "_bucket"]).withColumn("_number", F.col("_before") + F.col("_within") - 1)
     found = numbered.withColumn("_to", F.pandas_udf(placed, "sequence long, place long")("_slot", "_number"))
-    found = found.select(*pieces.columns, F.col("_to.sequence").alias("sequence_id"), F.col("_to.place").alias("_place"))
-    filled = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1))
-    return found.withColumn("offset", F.coalesce(filled, F.lit(0))).drop("_place", "_piece")
+    found = found.select("_own", "_length", F.col("_to.sequence").alias("_sequence"), F.col("_to.place").alias("_place"))
+    filled = F.sum("_length").over(Window.partitionBy("_sequence").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1))
+    placed = {"sequence_id": F.col("_sequence"), "offset": F.coalesce(filled, F.lit(0))}
+    return found.select(*(F.col("_own")[c].alias(c) for c in names if c not in placed), *(x.alias(c) for c, x in placed.items()))
 
 
 def sequences(packed: DataFrame, pad_id: int = 0, window: int = WINDOW) -> DataFrame:

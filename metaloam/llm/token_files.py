@@ -8,7 +8,7 @@ manifest has one row per shard; the position of a shard's first token is the pre
 Files are written by the tasks straight to the shared folder under a name of their own attempt, and the manifest lists
 those of attempts that ended well, so retried or repeated tasks leave no trace in the data set.
 
-Defined results: a null or empty text is a document of the end token alone. Rows with the same doc_id keep one order (by
+Defined results: a null or empty text is a document of the end token alone; texts of any length are encoded whole. Rows with the same doc_id keep one order (by
 a hash of the text, then the text); null ids come first and are stored as the least 64-bit number. Extra columns are not
 stored. An empty table gives no shards and no rows.
 """

@@ -1,7 +1,8 @@
 """Token ids of whole texts by a public tokenizer, with each distinct piece of text between spaces encoded once.
 
-Both kinds of tokenizer here treat the pieces apart from each other, so the ids of a text are the joined ids of its
-pieces. Where that isn't certain (the tokenizer's own special strings, rare white space) the whole text is encoded.
+Two kinds of tokenizer, told by what their file says of normalising and of splitting, treat the pieces apart from each
+other, so the ids of a text are the joined ids of its pieces. Where that isn't certain (any other tokenizer, the
+tokenizer's own special strings, rare white space) the whole text is encoded.
 """
 
 from __future__ import annotations
@@ -21,6 +22,18 @@ _UNEVEN = r"[\x00-\x09\x0b-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}
 _CHUNK = re.compile(r"[ \t\r\n]+(?=[ \t\r\n][^ \t\r\n])|[ \t\r\n]?[^ \t\r\n]+|[ \t\r\n]+")
 #: A run of Latin letters, then ASCII punctuation: two tokens' worth for both kinds of tokenizer.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)")
+#: Fixed values of the files: normaliser and pre-tokenizer of the kinds whose pieces are apart.
+BYTE_LEVEL = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+LOWER_WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
 #: Pieces of text, and words without their punctuation, that a worker remembers, at most.
 REMEMBER = 900_000
 #: Workers keep one encoder for each file.
@@ -36,8 +49,13 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [x["content"] for x in spec["added_tokens"]]
+        kind = (spec["normalizer"], spec["pre_tokenizer"])
         #: Whether white space belongs to the tokens; else it only parts words.
-        self.spaced = spec["model"].get("end_of_word_suffix") is None
+        self.spaced = kind == BYTE_LEVEL
+        model = spec["model"]
+        plain = model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and not model.get("unk_token") and spec["truncation"] is None
+        #: Whether pieces are encoded apart; else all texts whole.
+        self.apart = plain and (self.spaced and not model.get("end_of_word_suffix") or kind == LOWER_WORDS and bool(model.get("end_of_word_suffix")))
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.cores: dict[str, tuple[int, ...]] = {}
         self.signs: dict[str, tuple[int, ...]] = {"": ()}
@@ -90,7 +108,7 @@ class Encoder:
 
     def _pieces(self, text: str) -> list[str] | None:
         """Keys of the pieces: with a leading space left off, or marked by a zero character if taken as they are."""
-        if "\0" in text or any(x in text for x in self.special):
+        if not self.apart or "\0" in text or any(x in text for x in self.special):
             return None
         if not self.spaced:
             return None if _ODD.search(text) and not text.isascii() or re.search("[\x1c-\x1f]", text) else text.split()
@@ -135,6 +153,8 @@ class Encoder:
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """As ``encode`` for each text; pieces are split and numbered in Arrow, so each distinct one is looked up once."""
+        if not self.apart:
+            return [self.encode(x) for x in texts]
         out: list[np.ndarray | None] = [None] * len(texts)
         given = pa.array(texts, pa.string())
         plain = pc.and_(pc.not_equal(pc.fill_null(given, ""), ""), pc.invert(pc.fill_null(pc.match_substring_regex(given, _UNEVEN), True)))
