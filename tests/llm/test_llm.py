@@ -1,6 +1,5 @@
 """Operators of the training-data subpackage against SQL, brute force, round trips and edge cases."""
 
-import hashlib
 import json
 import zlib
 from collections import Counter
@@ -76,6 +75,27 @@ def test_pieces_give_the_tokenizers_ids(name):
     assert [x.tolist() for x in own.encode_batch(texts)] == want and [own.encode(x).tolist() for x in texts] == want
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "own.json").write_text(json.dumps(spec))
+    own, real = tokens.Encoder(str(tmp_path / "own.json")), Tokenizer.from_file(str(tmp_path / "own.json"))
+    texts = ["Hello there", "a b\nc", "", None, " x"]
+    assert not own.apart and [x.tolist() for x in own.encode_batch(texts)] == [real.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_token_file_query_against_the_library(spark):
+    real = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    start, want = 0, []
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect():
+        ids = [*real.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        want.append((r["doc_id"], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = QUERIES["op2_token_files"](spark, DATA).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(tuple(r) for r in got) == want
+
+
 def test_token_files_round_trip(spark, odd, empty, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     manifest = token_files.write(odd, f"file://{tmp_path}/t", path)
@@ -139,13 +159,55 @@ def test_classifier_learns_and_handles_odd_rows(spark, odd, empty):
 def test_language(spark, odd, empty):
     texts = {"en": "the house and the garden of the town {}", "de": "das haus und der garten der stadt {}", "fr": "la maison et le jardin de la ville {}"}
     docs = spark.createDataFrame([(i, lang, t.format("x" * (i % 5))) for i in range(90) for lang, t in [list(texts.items())[i % 3]]], "doc_id long, lang string, text string")
-    model = language_id.train(docs)
-    assert [model.predict(t)[0] for t in texts.values()] == list(texts) and model.predict("12 !")[0] == "und" and model.predict(None) == ("und", 0.0)
+    models = language_id.train(docs)
+    predict = lambda t: language_id.decided(models, [t])[0]
+    assert [predict(t)[0] for t in texts.values()] == list(texts) and predict("12 !")[0] == "und" and predict(None) == ("und", 0.0)
+    assert predict("\U000e0041\U000f0000") == ("und", 0.0) and predict("\U00020000")[0] != "und"
     long = "das haus " * 200_000
-    assert model.predict(long)[0] == "de" and sum(len(g) for g in language_id.grams(long)) > 2.7 * len(long)
-    got = odd.select(language_id.predict(spark, model, F.col("text")).alias("p")).select("p.*").toPandas()
+    assert predict(long)[0] == "de" and sum(len(g) for g in language_id.grams(long)) > 2.7 * len(long)
+    assert predict("das haus der stadt")[1] > predict("das haus de la ville")[1] > 0
+    got = odd.select(language_id.predict(spark, models, F.col("text")).alias("p")).select("p.*").toPandas()
     assert got["score"].between(0, 1).all() and (got["lang_pred"] == "und").sum() == 4
-    assert language_id.train(empty).predict("text") == ("und", 0.0)
+    assert language_id.decided(language_id.train(empty), ["text"]) == [("und", 0.0)]
+    assert empty.select(language_id.predict(spark, models, F.col("text"))).count() == 0
+    tied = language_id.train(spark.createDataFrame([(i, x, "same words") for i, x in enumerate("ab" * 20)], "doc_id long, lang string, text string"))
+    n = {k: tied[0].log_prior[i] for i, k in enumerate(tied[0].languages)}
+    assert language_id.decided(tied, ["same words"])[0][0] == max(sorted(n), key=n.get)
+
+
+def test_more_languages_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "BLOCK_LANGUAGES", 3)
+    names = [f"l{i}" for i in range(8)]
+    docs = spark.createDataFrame([(8 * j + i, x, f"{chr(97 + i) * 3} {chr(98 + i) * 2}") for i, x in enumerate(names) for j in range(6)], "doc_id long, lang string, text string")
+    models = language_id.train(docs)
+    assert [len(m.languages) for m in models] == [3, 3, 2]
+    assert [x for x, _ in language_id.decided(models, [f"{chr(97 + i) * 3}" for i in range(8)])] == names
+
+
+def test_language_evidence_is_plain_naive_bayes():
+    rng = np.random.default_rng(4)
+    model = language_id.NaiveBayes(["a", "b", "c"], np.log([0.2, 0.3, 0.5]), np.log(rng.random((1 << language_id.BITS, 3))).astype(np.float32))
+    texts = ["One text, and more.", None, "", "Zwei! " * 50, "\u00e9t\u00e9"]
+    n, totals = model.evidence(texts)
+    for text, k, total in zip(texts, n, totals, strict=True):
+        buckets = [b for part in language_id.grams(text) for b in part.tolist()]
+        assert k == len(buckets) and total == pytest.approx(model.log_prior + sum((model.log_prob[b].astype(float) for b in buckets), np.zeros(3)), rel=1e-5)
+
+
+@pytest.mark.parametrize("name, least", [("op3_quality_classifier", 0.9), ("op9_language_id", 0.95)])
+def test_held_out_accuracy(spark, name, least):
+    """Over the rows that no model has seen."""
+    data = DATA.replace("0.001", "0.01")
+    got = {r["doc_id"]: r for r in QUERIES[name](spark, data).collect()}
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got.values())
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
+    if name.startswith("op3"):
+        truth, said = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}, "predicted"
+    else:
+        truth, said = {r["doc_id"]: r["lang"] for r in docs.filter("lang IS NOT NULL AND text RLIKE '[a-z]'").collect()}, "lang_pred"
+    right = [got[i][said] == x for i, x in truth.items() if x is not None and got[i]["held_out"]]
+    assert len(right) > 50 and np.mean(right) >= least
 
 
 # urls and pages
@@ -159,6 +221,33 @@ def test_urls(spark):
     assert got[6][3] == "block" and got[7][3] == "allow" and got[8][:2] == ("", "") == got[9][:2] and got[10] == ("É.net", "/", "net/", "block")
 
 
+def test_url_model_on_held_out_urls(spark):
+    table = url_filter.labelled_urls()
+    assert table["url"].is_unique and set(table["label"]) == {0, 1} and url_filter.accuracy(table) >= 0.9
+    model = url_filter.train(table)
+    assert url_filter.score(model, "alphabet.com", "/x") < 0.5 < url_filter.score(model, "www.cheap-pills.com", "/")
+    empty = spark.createDataFrame([], "url string")
+    assert url_filter.judge(empty).count() == 0
+    clash = spark.createDataFrame([("http://a.net/x", "mine", 7)], "url string, host string, other int")
+    assert tuple(url_filter.judge(clash).select("host", "other", "verdict").first()) == ("a.net", 7, "block")
+    none = url_filter.judge(clash, rules=(), labelled=table.iloc[:0]).first()
+    assert none["rule"] is None and none["verdict"] == "allow"
+
+
+def test_url_query_against_plain_python(spark):
+    model = url_filter.train(url_filter.labelled_urls())
+    rules = dict(url_filter.RULES)
+    urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    got = QUERIES["op6_url_filter"](spark, DATA).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        host, path = url_filter.split_url(urls[r["page_id"]])
+        fit = [x for x in rules if (host == x.split("/")[0] or host.endswith("." + x.split("/")[0])) and path.startswith("/" + x.split("/", 1)[1])]
+        rule = max(fit, key=len, default=None)
+        verdict = rules[rule] if rule else "block" if url_filter.score(model, host, path) >= 0.5 else "allow"
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict)
+
+
 PAGE = '<html><body class="has-sidebar"><header><a href=/>Site</a></header><div class="cookie-notice">We use cookies</div><div id=menu><ul><li><a href=1>Home</a><li><a href=2>News</a></ul></div><div class="content"><h1>Ti&eacute;tle {0}</h1><p>First <b>pa</b>ra {0}.<p>Second&nbsp;para<br>line {0}<form>Your name <input></form></div><div id="comments"><p>nice!</p></div><div class=sidebar>side</div><footer>(c)</footer>'
 
 
@@ -196,6 +285,61 @@ def test_each_layout_of_a_large_host_has_a_template(kinds):
     assert html_extract.extract_block(pages) == [f"Title{i} Own words{i} of page{i}" for i in range(48)]
 
 
+def one(page):
+    return html_extract.extract_block([page])[0]
+
+
+def test_nothing_of_an_article_is_lost():
+    assert one("<p>" + "\u0130" * 6 + "<script>x</script>Hello world") == "\u0130" * 6 + "Hello world"
+    inside = '<div class="related">a</div><p class="share-price">b</p><ul id="rating-agencies"><li>c</ul><section id="discussion">d</section><p>e <math>f</math> <svg><text>g</text></svg></p><h2 class="header">h</h2>'
+    assert one(f"<body><nav>x</nav><article>{inside}</article><footer>y</footer>").split() == list("abcdefgh")
+    gone = '<div class="ad">x</div><div class="cookie-notice">x</div><form>x</form><aside>x</aside><ul class="comments"><li>x</ul><nav>x</nav><style>x</style><SCRIPT>x</ScRiPt><noscript>x</noscript><div role="search">x</div>'
+    assert one(f"<article>{gone}a</article>") == "a"
+    assert one("<body><p><a href=1>A linked paragraph</a><p>Then text") == "A linked paragraph Then text"
+    assert one("<body><ul><li><a>x</a><li><a>y</a></ul><p>text <a>and link</a>") == "text and link"
+    assert one("<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after") == "deep after"
+    long = " ".join(f"w{i}" for i in range(200_000))
+    assert one(f"<article><p>{long}</article>") == long
+    assert one("a &lt;b&gt; &amp;amp; &#x41; &nbsp;\n\t c") == "a <b> &amp; A c"
+
+
+def test_template_is_a_tree_and_its_slots_give_the_text():
+    rows = ["".join(f"<tr><td>Name</td><td>n{i}{k}</td><td>Price</td><td>p{i}{k}</td></tr>" for k in range(i + 1)) for i in range(6)]
+    sources = [f"<article><h1>Head{i}</h1><div><p>Read our letter daily</p></div><table>{r}</table><p>End{i}</p></article>" for i, r in enumerate(rows)]
+    pages = [html_extract.parse(x) for x in sources]
+    template = html_extract.deduce(pages)
+    outer = next(k for k, c in enumerate(template.classes) if c.vector == (1,) * 6)
+    inner = next(c for c in template.classes if c.vector == (1, 2, 3, 4, 5, 6))
+    assert inner.parent == outer and template.classes[outer].tokens[inner.gap][1].startswith("<table")
+    free = template.slot_words(pages[1])
+    assert [w for (_, w), f in zip(pages[1].tokens, free, strict=True) if f and w[0] != "<"] == ["Head1", "n10", "p10", "n11", "p11", "End1"]
+    assert html_extract.main_text(pages[1], template) == "Head1 n10 p10 n11 p11 End1"
+    assert "Read our letter daily" in html_extract.main_text(pages[1], html_extract.Template())
+
+
+def test_repeated_rows_and_extra_columns(spark):
+    rows = [(1, "http://a.org/1", "<p>One")] * 90 + [(None, None, "<p>Two")] * 70 + [(i, "http://a.org/x", f"<p>Page {i}") for i in range(2, 60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("mine") for c in ("_host", "_salt", "_page", "text", "_n")})
+    got = Counter((r["page_id"], r["text"]) for r in html_extract.extract(pages, block_pages=16).collect())
+    assert got == Counter([(1, "One")] * 90 + [(None, "Two")] * 70 + [(i, f"Page {i}") for i in range(2, 60)])
+
+
+def test_page_query_against_a_plain_reading(spark):
+    """The test pages have one article; what it holds, read by removing tags, is the text."""
+    import html
+    import re
+
+    def plain(page):
+        body = re.search(r"<article>(.*?)(</article>|$)", page or "", re.S)
+        blocks = re.split(r"</?(?:p|h1|div|article)[^>]*>", body[1] if body else "")
+        found = (" ".join(html.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in blocks)
+        return " ".join(b for b in found if b)
+
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    got = QUERIES["op10_html_extract"](spark, DATA).collect()
+    assert len(got) == len(pages) and all((r["url"], r["text"], r["n_chars"]) == (pages[r["page_id"]]["url"], plain(pages[r["page_id"]]["html"]), len(r["text"])) for r in got)
+
+
 # near duplicates
 
 
@@ -345,11 +489,33 @@ def test_short_items_and_removal(spark, empty):
     got = decontaminate.remove(docs, items)
     assert got.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in got.collect() if r["text"]) == [(4, "w " * 60 + "v " * 60)] * 2
     assert sorted(r["doc_id"] for r in got.collect()) == [2, 3, 4, 4]
-    whole = decontaminate.hits(docs.select(F.col("doc_id").alias("_row"), "text"), items, broadcast_windows=0)
+    whole = decontaminate.hits(docs.select(F.col("doc_id").alias("_row"), "text"), items, broadcast_bytes=1)
     assert {r["_row"]: len(r["spans"]) for r in whole.filter("_row < 4").collect()} == {1: 1, 2: 0, 3: 0}
     assert decontaminate.remove(docs, items.limit(0)).count() == 5 and decontaminate.remove(empty, items).count() == 0
 
 
+def test_blocks_of_windows_give_the_same_hits(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select(F.col("doc_id").alias("_row"), "text")
+    long = spark.createDataFrame([(-1, " ".join(f"w{i % 977}" for i in range(20_000)))], "_row long, text string")
+    items = spark.read.parquet(f"{DATA}/benchmark.parquet").select(F.concat(F.lit("item "), "item_id").alias("item_id"), "text")
+    items = items.unionByName(spark.createDataFrame([("own", " ".join(f"w{i}" for i in range(40, 60)))], "item_id string, text string"))
+    told = lambda df: sorted((r["_row"], r["n_words"], [tuple(x) for x in r["spans"]], sorted(r["items"])) for r in df.collect())
+    once = told(decontaminate.hits(docs.unionByName(long), items))
+    assert once == told(decontaminate.hits(docs.unionByName(long), items, broadcast_bytes=200_000))
+    assert once[0][:2] == (-1, 20_000) and len(once[0][2]) == 21 and once[0][3] == ["own"]
+    assert any(len(r[2]) > 0 for r in once[1:])
+
+
+def test_removal_goes_by_content(spark):
+    items = spark.createDataFrame([("i", "a b c d e f g h i j k l m")], "item_id string, text string")
+    texts = ["w " * 400 + "A b, c d e f g h i j k l m! " + "v " * 400, "x y z", None, "a b c d e f g h i j k l m"]
+    docs = spark.createDataFrame([(i % 4, texts[i % 4]) for i in range(60)], "doc_id long, text string").repartition(5).withColumn("_key", F.lit("mine"))
+    for limit in (decontaminate.BROADCAST_BYTES, 1):
+        got = decontaminate.remove(docs, items, broadcast_bytes=limit)
+        assert got.columns == docs.columns
+        assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter({(0, "w " * 400 + "v " * 400): 15, (1, "x y z"): 15, (2, None): 15})
+
+
 def test_plan_places_every_piece():
     rng = np.random.default_rng(2)
     sizes = packing.slot_sizes()
@@ -375,21 +541,99 @@ def test_pack_is_whole(spark, odd, empty):
     assert packing.pack(packing.cut(empty, path).withColumn("_piece", F.monotonically_increasing_id())).count() == 0
 
 
-def test_pipeline(spark, tmp_path):
+def test_pack_query_against_the_library(spark):
+    real = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {r["doc_id"]: [*real.encode(r["text"] or "", add_special_tokens=False).ids, 1] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = QUERIES["op5_packing"](spark, DATA).toPandas()
+    for doc, own in got.groupby("doc_id"):
+        own = own.sort_values("start")
+        assert own["start"].tolist() == (own["length"].cumsum() - own["length"]).tolist() and own["length"].sum() == len(ids[doc]) == own["doc_tokens"].iloc[0]
+        for start, n, crc in own[["start", "length", "ids_crc32"]].itertuples(index=False):
+            assert crc == zlib.crc32(np.array(ids[doc][start : start + n], "<u4").tobytes())
+    assert set(got["doc_id"]) == set(ids)
+    filled = got.sort_values(["sequence_id", "offset"]).groupby("sequence_id")["length"]
+    assert (got.sort_values(["sequence_id", "offset"])["offset"] == filled.cumsum() - got.sort_values(["sequence_id", "offset"])["length"]).all()
+    totals = filled.sum()
+    places = totals.where((totals & (totals - 1)) == 0, 2048)
+    assert totals.max() <= 2048 and totals.sum() / places.sum() > 0.97
+
+
+def test_pieces_keep_clashing_columns(spark):
+    pieces = spark.createDataFrame([(i, 100 + i, "a", "b", i) for i in range(50)], "_piece long, length long, _slot string, _number string, offset long")
+    got = packing.pack(pieces)
+    assert sorted(got.columns) == sorted(["length", "_slot", "_number", "offset", "sequence_id"])
+    assert got.filter("_slot = 'a' AND _number = 'b'").count() == 50 and got.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"word{i}</s>" for i in range(60_000))
+    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string").withColumns({c: F.lit("mine") for c in ("turns", "segments", "m", "t")})
+    got = chat_format.format_conversations(turns).select(chat_format.read_back(F.col("formatted")).alias("back"), chat_format.loss_text(F.col("segments")).alias("loss")).first()
+    assert got["loss"] == long and [tuple(x) for x in got["back"]] == [("user", "q"), ("assistant", long)]
+    docs = spark.createDataFrame([(1, long), (2, "short")], "doc_id long, text string").withColumn("_score", F.lit("mine"))
+    model = quality_classifier.FactorisationMachine(0.5, np.zeros(quality_classifier.DIM), np.zeros((quality_classifier.DIM, 2)))
+    assert quality_classifier.keep(docs, model, 0.6).count() == 2 and quality_classifier.keep(docs, model, 0.6).columns == docs.columns
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    n = len(Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids) + 1
+    pieces = packing.cut(docs, path).filter("doc_id = 1").toPandas()
+    assert pieces["length"].sum() == n == pieces["doc_tokens"].iloc[0] and pieces["length"].max() == 2048
+
+
+def plain_decontamination(texts, items):
+    import re
+
+    word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    low = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x)
+    known = set()
+    for x in items:
+        w = [low(y) for y in word.findall(x or "")]
+        known.update(tuple(w[i : i + min(13, len(w))]) for i in range(max(0, len(w) - 12) or (1 if w else 0)))
+    sizes = sorted({len(k) for k in known})
+    out = {}
+    for i, x in texts.items():
+        found = list(word.finditer(x or ""))
+        w = [low(m[0]) for m in found]
+        hit = {k for n in sizes for at in range(len(w) - n + 1) if tuple(w[at : at + n]) in known for k in range(at, at + n)}
+        if hit and 20 * len(hit) >= len(w):
+            continue
+        if hit:
+            ends = [m.start() for m in found[1:]] + [len(x)]
+            x = x[: found[0].start()] + "".join(x[m.start() : e] for k, (m, e) in enumerate(zip(found, ends, strict=True)) if k not in hit)
+        out[i] = x
+    return out
+
+
+def test_pipeline_against_plain_stages(spark):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "quality classifier", "near-duplicates", "benchmark decontamination", "packing"]
-    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
-    seen = docs
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    judged = duck(f"SELECT doc_id, kept FROM ({SQL['op7_quality_rules']})")
+    texts = {i: texts[i] for i, kept in judged if kept}
+    model = quality_classifier.train(docs, labels)
+    texts = {i: t for i, t in texts.items() if model.score(quality_classifier.Rows.of([quality_classifier.features(t)]))[0] >= 0.7}
+    texts = {i: texts[i] for i, c in brute_classes(sorted(texts.items())) if i == c}
+    texts = plain_decontamination(texts, [r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()])
+    real = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: [*real.encode(t or "", add_special_tokens=False).ids, 1] for i, t in texts.items()}
+    got = corpus_pipeline.run(spark, DATA).toPandas()
+    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in got.itertuples()) == sorted((i, at, len(x[at : at + 2048]), zlib.crc32(np.array(x[at : at + 2048], "<u4").tobytes())) for i, x in ids.items() for at in range(0, len(x), 2048))
+
+
+def test_pipeline_of_odd_and_no_rows(spark, odd, empty, tmp_path):
+    import corpus_pipeline
+
+    seen = odd.unionByName(odd.withColumn("text", F.concat(F.lit("The plain words of a text follow here, "), F.expr("array_join(transform(sequence(1, 300), x -> concat('w', x * (doc_id + 1) % 997)), ' ')"))))
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, seen, DATA)
-        out.write.parquet(str(tmp_path / name.replace(" ", "-")))
-        out = spark.read.parquet(str(tmp_path / name.replace(" ", "-")))
-        assert out.columns == docs.columns and out.count() <= seen.count()
-        seen = out
-    kept = {r["doc_id"]: r["text"] for r in seen.collect()}
-    alive = [(i, t) for i, t in sorted(rows.items()) if i in kept]
-    assert all(a == b for a, b in brute_classes(alive))
-    packed = corpus_pipeline.pack(spark, seen, DATA).toPandas()
-    assert set(packed["doc_id"]) == set(kept) and hashlib.sha256(json.dumps(sorted(packed.columns)).encode()).hexdigest()
+        seen = stage(spark, seen, DATA)
+        assert seen.columns == odd.columns, name
+        seen.write.parquet(str(tmp_path / name.replace(" ", "-")))
+        seen = spark.read.parquet(str(tmp_path / name.replace(" ", "-")))
+    assert set(corpus_pipeline.pack(spark, seen, DATA).columns) >= {"doc_id", "start", "length", "sequence_id", "offset"}
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{DATA}/{t}.parquet").write.parquet(str(tmp_path / "none" / f"{t}.parquet"))
+    empty.write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
