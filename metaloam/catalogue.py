@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from metaloam.plans import agreement, models, neighbours, relational, text, trees  # noqa: F401  they register their queries
+from metaloam.plans import agreement, cleaning, models, neighbours, relational, text, trees  # noqa: F401  they register their queries
 from metaloam.registry import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "knn_purity_blocked"

@@ -40,9 +40,9 @@ def to_metres(value: Column, unit: Column) -> Column:
 
 
 def depth_to_metres(value: Column, unit: Column) -> Column:
-    """As to_metres, with inches and millimetres; an unknown unit leaves the number."""
+    """As to_metres, for the classes of depth_class; an unknown unit leaves the number."""
     x = parse_number(value)
-    return F.when(unit == "inches", x * 0.0254).when(unit == "mm", x / 1000).otherwise(F.coalesce(to_metres(value, unit), x))
+    return F.when(unit == "inches", x * 0.0254).when(unit == "mm", x / 1000).when(unit.isin("mbsl", "mbsf", "bgs"), x).otherwise(F.coalesce(to_metres(value, unit), x))
 
 
 def plausible(metres: Column, most: float = 10_000) -> Column:
@@ -50,12 +50,38 @@ def plausible(metres: Column, most: float = 10_000) -> Column:
 
 
 def dms_to_decimal(text: Column) -> Column:
-    """Degrees, minutes and seconds, or decimal degrees with a hemisphere letter, to signed degrees; decimal commas count."""
-    t = F.replace(F.upper(text), F.lit(","), F.lit("."))
+    """Degrees, minutes and seconds, or decimal degrees with a hemisphere, to signed degrees; decimal commas count.
+
+    A hemisphere is one of N, S, E, W, or its word, that stands alone or beside a number.
+    """
+    t = F.regexp_replace(F.upper(text), r"(\d),(\d)", "$1.$2")
     n = F.regexp_extract_all(t, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1))
     part = [F.coalesce(F.get(n, i).try_cast("double"), F.lit(0.0)) for i in range(3)]
     size = part[0] + part[1] / 60 + part[2] / 3600
-    return F.when(F.size(n) == 0, None).otherwise(F.when(t.rlike("[SW]|^\\s*-"), -size).otherwise(size))
+    negative = t.rlike(r"(^|[^A-Z])(S|W|SOUTH|WEST)([^A-Z]|$)|^\s*-")
+    return F.when(F.size(n) == 0, None).otherwise(F.when(negative, -size).otherwise(size))
+
+
+def depth_class(value: Column) -> Column:
+    """As unit_class, with inches, millimetres and depths below the sea's level, its floor or the ground; glued units count."""
+    v = F.lower(F.trim(value))
+    return (
+        F.when(v.rlike(r"\d\s*mbsl\b"), "mbsl")
+        .when(v.rlike(r"\d\s*mbsf\b"), "mbsf")
+        .when(v.rlike(r"\bbgs\b"), "bgs")
+        .when(v.rlike(r"\d\s*(in|inch|inches)\b"), "inches")
+        .when(v.rlike(r"\d\s*mm\b"), "mm")
+        .otherwise(unit_class(value))
+    )
+
+
+def key_group(key: Column, groups: dict[str, tuple[str, ...]]) -> Column:
+    """The group whose list has the key, null for none."""
+    return F.coalesce(*(F.when(key.isin(*keys), F.lit(name)) for name, keys in groups.items()))
+
+
+def valid_coordinate(lat: Column, lon: Column) -> Column:
+    return lat.between(-90, 90) & lon.between(-180, 180)
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -146,8 +146,8 @@ def _ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp similarity; no built-in computes it."""
-    return F.pandas_udf(_ratio, "double")(a, b)
+    """Ratcliff-Obershelp similarity, case aside; no built-in computes it."""
+    return F.pandas_udf(_ratio, "double")(F.lower(a), F.lower(b))
 
 
 def _folded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -159,3 +159,135 @@ def fold_accents(text: Column) -> Column:
     """NFKD without combining marks, then lower case, bars and underscores as spaces, other signs dropped."""
     out = F.lower(F.pandas_udf(_folded, "string")(text))
     return squeeze(F.regexp_replace(F.regexp_replace(out, r"[_/|]+", " "), "[^a-z0-9 -]", ""))
+
+
+def part_fields(line: Column, sign: str = "___", least: int = 5) -> Column:
+    """Fields of a line between ``sign``, white space squeezed; the first one's last word is the id. Null with too few."""
+    parts = F.transform(F.split(line, sign), squeeze)
+    return F.when(F.size(parts) >= least, F.concat(F.array(F.element_at(F.split(parts[0], " "), -1)), F.slice(parts, 2, 1 << 20)))
+
+
+def folded(value: Column) -> Column:
+    """Null as the empty string; trimmed and lower-cased."""
+    return F.lower(F.trim(F.coalesce(value, F.lit(""))))
+
+
+def has_number(number: Column, text: Column) -> Column:
+    """The number stands in the text, not as a part of a longer number or decimal."""
+    return F.array_contains(numbers(text), number)
+
+
+#: Kinds of likeness, the first that holds.
+VARIANTS = ("same", "reordered", "same_set", "near_spelling", "shares_a_word", "different")
+
+
+def variant_kind(a: Column, b: Column, near: float = 0.8) -> Column:
+    """Why two strings are alike: equal when folded to words, the same words in another order, the same set of words, nearly
+    the same spelling, a common word, or nothing of that.
+    """
+    x, y = (F.transform(tokens(c), F.lower) for c in (a, b))
+    spelled = levenshtein_similarity(F.array_join(x, " "), F.array_join(y, " ")) >= near
+    return (
+        F.when(x == y, VARIANTS[0])
+        .when(F.array_sort(x) == F.array_sort(y), VARIANTS[1])
+        .when(F.array_sort(F.array_distinct(x)) == F.array_sort(F.array_distinct(y)), VARIANTS[2])
+        .when(spelled, VARIANTS[3])
+        .when(F.size(F.array_intersect(x, y)) > 0, VARIANTS[4])
+        .otherwise(VARIANTS[5])
+    )
+
+
+def plain_quotes(text: Column) -> Column:
+    """Lower case, typographic apostrophes as plain ones."""
+    return F.translate(F.lower(text), "‘’ʼ", "'''")
+
+
+def hyphenated_tokens(text: Column, stop: tuple[str, ...] = (), longer_than: int = 1) -> Column:
+    """Lower-cased words of letters that hyphens may join, without stop words and short ones."""
+    found = F.regexp_extract_all(F.lower(text), F.lit("([a-z]+(?:-[a-z]+)*)"), F.lit(1))
+    return F.filter(found, lambda t: (F.char_length(t) > longer_than) & ~t.isin(*stop)) if stop else F.filter(found, lambda t: F.char_length(t) > longer_than)
+
+
+def without_punctuation(text: Column) -> Column:
+    """Lower case, everything but letters, digits, underscores and white space dropped, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9_\s]", ""))
+
+
+def without_markup(text: Column) -> Column:
+    """Addresses, tags and punctuation as spaces, then squeezed and lower-cased."""
+    out = F.regexp_replace(F.regexp_replace(text, r"https?://\S+|www\.\S+", " "), r"<[^>]*>", " ")
+    return squeeze(F.lower(F.regexp_replace(out, r"[^A-Za-z0-9\s]", " ")))
+
+
+#: English contractions, in the order in which they are replaced.
+CONTRACTIONS = (("won't", "will not"), ("can't", "can not"), ("n't", " not"), ("'re", " are"), ("'s", " is"), ("'d", " would"), ("'ll", " will"), ("'t", " not"), ("'ve", " have"), ("'m", " am"))
+
+
+def expanded(text: Column) -> Column:
+    """Contractions spelled out."""
+    for short, long in CONTRACTIONS:
+        text = F.replace(text, F.lit(short), F.lit(long))
+    return text
+
+
+def phrase_match(phrase: Column, text: Column) -> Column:
+    """full: the phrase stands in the text between word boundaries; any: one of its words does; else none."""
+    words, all_words = (F.array_join(F.transform(tokens(c), F.lower), " ") for c in (phrase, text))
+    full = F.contains(F.concat(F.lit(" "), all_words, F.lit(" ")), F.concat(F.lit(" "), words, F.lit(" ")))
+    return F.when((words != "") & full, "full").when(F.arrays_overlap(F.split(words, " "), F.split(all_words, " ")) & (words != ""), "any").otherwise("none")
+
+
+def dois(text: Column) -> Column:
+    """All ``doi:`` references, case aside, up to white space and without signs at their end."""
+    return F.regexp_extract_all(text, F.lit(r"(?i)\b(doi:[^\s]+)\b"), F.lit(1))
+
+
+def literature_ids(text: Column, kind: str) -> Column:
+    """Digits of PMID or PMC references, distinct, in order."""
+    sign = {"pmid": r"(?i)\bpmid:?\s*(\d+)", "pmcid": r"(?i)\bpmc(?:id)?:?\s*(\d+)"}[kind]
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(sign), F.lit(1)))
+
+
+def project_ids(text: Column) -> Column:
+    """Bioproject ids, distinct; ones given as digits alone get the prefix PRJNA."""
+    full = F.regexp_extract_all(F.upper(text), F.lit(r"\b(PRJ[EDN][A-Z]\d+)\b"), F.lit(1))
+    bare = F.regexp_extract_all(F.upper(text), F.lit(r"BIOPROJECT[:=\s]+(\d+)\b"), F.lit(1))
+    return F.array_distinct(F.concat(full, F.transform(bare, lambda d: F.concat(F.lit("PRJNA"), d))))
+
+
+def without_digits(text: Column) -> Column:
+    return F.regexp_replace(text, "[0-9]", "")
+
+
+def without_digit_tokens(text: Column) -> Column:
+    """Words between spaces that have no digit."""
+    return F.array_join(F.filter(F.split(text, " "), lambda t: ~t.rlike("[0-9]")), " ")
+
+
+def token_ngrams(words: Column, n: int) -> Column:
+    """All n consecutive elements, joined by spaces."""
+    at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+
+def swapped_words(text: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    """Each word of a pair becomes the other one: the same call gives the text back."""
+    other = F.create_map(*(F.lit(x) for a, b in pairs for x in (a, b, b, a)))
+    return F.array_join(F.transform(F.split(text, " "), lambda t: F.coalesce(F.try_element_at(other, t), t)), " ")
+
+
+#: The texts of a term that are compared.
+TERM_TEXTS = ("label", "label_synonyms", "label_definition", "label_parents", "label_synonyms_definition", "all")
+
+
+def term_texts(label: Column, synonyms: Column, definition: Column, parents: Column) -> Column:
+    """Six texts of a term as a map, parts joined by bars; empty parts are left out."""
+    syn, par = F.array_join(synonyms, "; "), F.array_join(parents, "; ")
+    kinds = ((label,), (label, syn), (label, definition), (label, par), (label, syn, definition), (label, syn, definition, par))
+    joined = [F.concat_ws(" | ", *(F.nullif(p, F.lit("")) for p in k)) for k in kinds]
+    return F.map_from_arrays(F.array(*map(F.lit, TERM_TEXTS)), F.array(*joined))
+
+
+def whitelisted(pairs: Column, keys: tuple[str, ...]) -> Column:
+    """Values of some keys of a map, in the keys' order, joined."""
+    return F.concat_ws("; ", *(F.try_element_at(pairs, F.lit(k)) for k in keys))
