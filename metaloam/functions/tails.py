@@ -90,3 +90,21 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
 
     seen = log_p(a)
     return min(1.0, sum(math.exp(p) for k in range(max(0, row + col - n), min(row, col) + 1) if (p := log_p(k)) <= seen + 1e-7))
+
+
+def student(m1: float, ss1: float, n1: int, m2: float, ss2: float, n2: int) -> tuple[float, float]:
+    """t and two-sided p with a common variance, from means, sums of squared deviations and sizes."""
+    df = n1 + n2 - 2
+    pooled = (ss1 + ss2) / df
+    if pooled == 0:
+        return (0.0, 1.0) if m1 == m2 else (math.copysign(math.inf, m1 - m2), 0.0)
+    t = (m1 - m2) / math.sqrt(pooled * (1 / n1 + 1 / n2))
+    return t, t_two_sided(t, df)
+
+
+def paired(difference: float, variance: float, n: int) -> tuple[float, float]:
+    """t and two-sided p of paired differences, from their mean, variance and number."""
+    if variance == 0:
+        return (0.0, 1.0) if difference == 0 else (math.copysign(math.inf, difference), 0.0)
+    t = difference / math.sqrt(variance / n)
+    return t, t_two_sided(t, n - 1)

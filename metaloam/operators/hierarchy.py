@@ -2,35 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metaloam.operators.shared import discard, stored
 
-def closure(edges: DataFrame, deepest: int = 64) -> DataFrame:
+
+def closure(edges: DataFrame, deepest: int | None = None) -> DataFrame:
     """node, ancestor and least distance, for all nodes of ``edges`` (child, parent); each node is its own at distance 0.
 
-    Distances double in each round: paths of up to 2^k steps are joined to those of up to 2^k. Cycles end at their length.
-    A graph with least distances beyond ``deepest`` is refused.
+    Distances double in each round: paths of up to 2^k steps are joined to those of up to 2^k, until nothing changes. Cycles
+    end at their length. Rounds are written to the shared folder, and a round's table goes when the next one is written.
+    With ``deepest`` a graph with greater least distances is refused.
     """
     nodes = edges.select(F.col("child").alias("node")).union(edges.select("parent")).distinct()
     paths = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")).union(edges.select("child", "parent", F.lit(1)))
-    paths = paths.groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
-    reach, known = 1, -1
-    while reach < deepest:
+    paths = stored(paths.groupBy("node", "ancestor").agg(F.min("distance").alias("distance")), "paths")
+    told = lambda p: p.agg(F.count(F.lit(1)), F.sum("distance"), F.max("distance")).first()
+    known = told(paths)
+    while True:
         on = paths.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("far"), F.col("distance").alias("more"))
-        paths = paths.join(on, "ancestor").groupBy("node", F.col("far").alias("ancestor")).agg(F.min(F.col("distance") + F.col("more")).alias("distance"))
-        reach *= 2
-        paths = paths.persist()
-        n = paths.agg(F.count(F.lit(1)), F.sum("distance")).first()
-        if n == known:
-            break
-        known = n
-    else:
-        last = paths.filter(F.col("distance") == reach).select("node", F.col("ancestor").alias("child"))
-        farther = last.join(edges, "child").select("node", F.col("parent").alias("ancestor"))
-        if not farther.join(paths, ["node", "ancestor"], "left_anti").isEmpty():
-            raise ValueError(f"ancestors farther than {reach} steps")
-    return paths
+        farther = stored(paths.join(on, "ancestor").groupBy("node", F.col("far").alias("ancestor")).agg(F.min(F.col("distance") + F.col("more")).alias("distance")), "paths")
+        discard(paths)
+        paths, before, known = farther, known, told(farther)
+        if deepest is not None and (known[2] or 0) > deepest:
+            raise ValueError(f"ancestors farther than {deepest} steps")
+        if known == before:
+            return paths
 
 
 def label_counts(paths: DataFrame, labels: DataFrame) -> DataFrame:
@@ -41,18 +39,22 @@ def label_counts(paths: DataFrame, labels: DataFrame) -> DataFrame:
     return below.join(depth, "node", "left").join(own, "node", "left").select("node", "n_below", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("is_label", F.lit(False)).alias("is_label"))
 
 
-def back_off(probabilities: DataFrame, paths: DataFrame, counts: DataFrame, tau: float, tolerance: float = 1e-12) -> DataFrame:
+def back_off(probabilities: DataFrame, paths: DataFrame, counts: DataFrame, tau: float | list[float], tolerance: float = 1e-12) -> DataFrame:
     """Per sample (sample, label, p) the most specific label among its best one and that one's ancestors with mass >= tau.
 
-    Most specific: fewest labels below, then deeper, then more mass, then the lesser name. A sample without one abstains
-    (pick is null).
+    Most specific: fewest labels below, then deeper, then more mass (to 9 digits), then the lesser name. A sample without one
+    abstains (pick is null). Several taus are answered at once, with a column tau.
     """
     mass = probabilities.join(paths.select(F.col("node").alias("label"), "ancestor"), "label").groupBy("sample", F.col("ancestor").alias("node")).agg(F.sum("p").alias("q"))
     top = probabilities.groupBy("sample").agg(F.max_by("label", F.struct("p", "label")).alias("label"))
-    own = top.join(paths.select(F.col("node").alias("label"), F.col("ancestor").alias("node")), "label").join(mass, ["sample", "node"]).join(counts.filter("is_label"), "node").filter(F.col("q") >= tau - tolerance)
-    best = F.row_number().over(Window.partitionBy("sample").orderBy("n_below", F.desc("depth"), F.desc("q"), "node"))
-    picked = own.withColumn("n", best).filter("n = 1").select("sample", F.col("node").alias("pick"), "q")
-    return top.select("sample").join(picked, "sample", "left")
+    own = top.join(paths.select(F.col("node").alias("label"), F.col("ancestor").alias("node")), "label").join(mass, ["sample", "node"]).join(counts.filter("is_label"), "node")
+    taus = F.array(*map(F.lit, tau if isinstance(tau, list) else [tau]))
+    fits = own.withColumn("tau", F.explode(taus)).filter(F.col("q") >= F.col("tau") - tolerance)
+    # the least struct of a group is found by partial aggregation
+    rank = F.struct("n_below", -F.col("depth"), -F.round("q", 9), "node")
+    picked = fits.groupBy("tau", "sample").agg(F.min_by(F.struct(F.col("node").alias("pick"), "q"), rank).alias("r")).select("tau", "sample", "r.*")
+    out = top.select("sample", F.explode(taus).alias("tau")).join(picked, ["tau", "sample"], "left")
+    return out if isinstance(tau, list) else out.drop("tau")
 
 
 def outcomes(picks: DataFrame, gold: DataFrame, paths: DataFrame) -> DataFrame:

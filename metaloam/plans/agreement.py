@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from metaloam.functions import tails
 from metaloam.operators import agreement as A
 from metaloam.operators import calibration
 from metaloam.registry import query, table
@@ -52,10 +51,12 @@ def descriptive_moments(spark, sf_dir):
     return out.withColumns({c: F.round(c, 5) for c in ("mean", "sd", "median", "sem", "ci_low", "ci_high", "cv")} | {c: F.round(c, 4) for c in ("skewness", "kurtosis")})
 
 
-@query("""WITH q AS (SELECT o_orderpriority, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders GROUP BY ALL)
-SELECT o_orderkey, o_orderpriority FROM orders JOIN q USING (o_orderpriority) WHERE o_totalprice < q1 - 1.5 * (q3 - q1) OR o_totalprice > q3 + 1.5 * (q3 - q1)""")
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, l_extendedprice * CASE WHEN l_partkey % 50 = 0 THEN 9 ELSE 1 END AS x FROM lineitem), q AS (SELECT l_returnflag, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM v GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, l_partkey FROM v JOIN q USING (l_returnflag) WHERE x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)""")
 def iqr_outliers(spark, sf_dir):
-    return A.iqr_outliers(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), ["o_orderpriority"], "o_totalprice").select("o_orderkey", "o_orderpriority")
+    x = F.col("l_extendedprice") * F.when(F.col("l_partkey") % 50 == 0, 9).otherwise(1)
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", x.alias("x"))
+    return A.iqr_outliers(rows, ["l_returnflag"], "x").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("""WITH n AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL),
@@ -83,27 +84,20 @@ def label_crosstab(spark, sf_dir):
     return table(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
 
 
-#: p-values of a worked case and whether each is rejected at 0.05.
-P_VALUES = (0.01, 0.02, 0.03, 0.5)
-
-
-@query("SELECT * FROM (VALUES (0.01::DOUBLE, true), (0.02::DOUBLE, true), (0.03::DOUBLE, true), (0.5::DOUBLE, false)) t(p, rejected)")
+@query("""WITH p AS (SELECT o_orderkey, o_orderpriority, pow((o_custkey * 7919 % 1009) / 1009.0::DOUBLE, 4) AS p FROM orders), i AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY p) AS i, count(*) OVER (PARTITION BY o_orderpriority) AS m FROM p),
+l AS (SELECT o_orderpriority, max(i) AS last FROM i WHERE p <= i / m::DOUBLE * 0.05 GROUP BY 1), d AS (SELECT o_orderpriority, max(p) AS cut FROM i JOIN l USING (o_orderpriority) WHERE i <= last GROUP BY 1) SELECT o_orderkey, p <= coalesce(cut, -1) AS rejected FROM p LEFT JOIN d USING (o_orderpriority)""")
 def bh_fdr(spark, sf_dir):
-    return A.benjamini_hochberg(spark.createDataFrame([(p,) for p in P_VALUES], "p double"), "p")
+    p = F.pow((F.col("o_custkey") * 7919 % 1009) / 1009.0, 4)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", p.alias("p"))
+    return A.benjamini_hochberg(rows, "p", by=["o_orderpriority"]).select("o_orderkey", "rejected")
 
 
-@query("SELECT 0.6::DOUBLE AS threshold, 1.0::DOUBLE AS coverage")
+@query("""WITH r AS (SELECT round(o_totalprice / 500000, 2) AS c, o_totalprice > 150000 AND o_custkey % 5 <> 0 AS ok FROM orders), n AS (SELECT c, count(*) AS n, count(*) FILTER (WHERE ok) AS h FROM r GROUP BY c),
+k AS (SELECT c, sum(n) OVER w AS n, sum(h) OVER w AS h FROM n WINDOW w AS (ORDER BY c DESC)) SELECT min(c) AS threshold, round(max(n) / (SELECT count(*) FROM r)::DOUBLE, 9) AS coverage FROM k WHERE h / n::DOUBLE >= 0.75""")
 def precision_threshold(spark, sf_dir):
-    rows = spark.createDataFrame([(0.9, True), (0.8, True), (0.7, False), (0.6, True)], "confidence double, correct boolean")
-    return calibration.precision_threshold(rows, "confidence", "correct", 0.75)
-
-
-@query()
-def welch_by_priority(spark, sf_dir):
-    """Welch tests of all pairs of order priorities; a row for each priority reaches the driver."""
-    rows = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("m"), F.stddev_samp("o_totalprice").alias("s"), F.count(F.lit(1)).alias("n")).orderBy("o_orderpriority").collect()
-    tests = [(a[0], b[0], *map(float, tails.welch(a.m, a.s, a.n, b.m, b.s, b.n))) for i, a in enumerate(rows) for b in rows[i + 1 :]]
-    return A.benjamini_hochberg(spark.createDataFrame(tests, "a string, b string, t double, df double, p double"), "p").select("a", "b", F.round("t", 6).alias("t"), F.round("p", 6).alias("p"), "rejected")
+    x = F.col("o_totalprice")
+    rows = table(spark, sf_dir, "orders").select(F.round(x / 500000, 2).alias("c"), ((x > 150000) & (F.col("o_custkey") % 5 != 0)).alias("ok"))
+    return calibration.precision_threshold(rows, "c", "ok", 0.75).withColumn("coverage", F.round("coverage", 9))
 
 
 @query("""SELECT round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 2) AS f_mean, count(*) AS n, round(corr(o_totalprice, o_custkey), 6) AS pearson FROM orders""")
