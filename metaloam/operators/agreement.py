@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metaloam.operators.ordering import with_running_sum
+
 
 def confusion(df: DataFrame, gold: str, predicted: str) -> DataFrame:
     """Long confusion matrix: gold, predicted, n, and the share of the gold class."""
@@ -66,7 +68,8 @@ def majority_label(df: DataFrame, key: str, label: str, purity: float = 0.0, lea
     n = df.groupBy(key, label).agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy(key)
     top = n.withColumns({"share": F.col("n") / F.sum("n").over(by), "place": F.row_number().over(by.orderBy(F.desc("n"), label))}).filter((F.col("place") == 1) & (F.col("share") >= purity))
-    return top.withColumn("keys", F.count(F.lit(1)).over(Window.partitionBy(label))).filter(F.col("keys") >= least).select(key, label, "share")
+    keys = top.groupBy(label).agg(F.count(F.lit(1)).alias("keys")).filter(F.col("keys") >= least)
+    return top.join(keys.select(label), label, "left_semi").select(key, label, "share")
 
 
 def pair_purity(df: DataFrame, group: str, label: str) -> DataFrame:
@@ -86,11 +89,10 @@ def collision_rate(df: DataFrame, value: str) -> DataFrame:
 def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """Area under the ROC curve by average ranks, from the distinct scores' counts; null for one class.
 
-    Ranks come from running counts over distinct scores; the counts are the only thing that is ordered.
+    Ranks come from running counts over distinct scores, by ranges of the score.
     """
     n = df.groupBy(score).agg(F.count_if(F.col(positive)).alias("p"), F.count(F.lit(1)).alias("t"))
-    below = F.sum("t").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = n.withColumn("mean_rank", F.coalesce(below, F.lit(0)) + (F.col("t") + 1) / 2)
+    ranked = with_running_sum(n, score, "t", "below").withColumn("mean_rank", F.col("below") + (F.col("t") + 1) / 2)
     s = ranked.agg(F.sum(F.col("mean_rank") * F.col("p")).alias("ranks"), F.sum("p").cast("double").alias("p"), F.sum("t").cast("double").alias("t"))
     q = F.col("t") - F.col("p")
     return s.select(F.col("p").cast("long").alias("n_positive"), q.cast("long").alias("n_negative"), F.when((F.col("p") > 0) & (q > 0), (F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * q)).alias("auc"))

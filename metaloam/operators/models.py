@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metaloam.operators.neighbours import vector_sums
+from metaloam.operators.shared import stored
 
 
 def prototypes(train: DataFrame, beta: float = 0.0) -> DataFrame:
@@ -21,14 +22,33 @@ def prototypes(train: DataFrame, beta: float = 0.0) -> DataFrame:
     return rows.select("label", F.transform("v", lambda x: x["m"] / F.greatest("len", F.lit(1e-12))).alias("direction"), F.transform("v", lambda x: x["c"]).alias("centre"), (beta * F.log("n")).alias("bias"))
 
 
-def prototype_predict(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """Best label and its margin over the second: id, predicted, margin. The model has a row per label and is broadcast."""
+#: Bytes of a model that each row is scored against at once; a larger one is joined, row by label.
+MODEL_BYTES = 32 << 20
+
+
+def prototype_predict(rows: DataFrame, model: DataFrame, model_bytes: int = MODEL_BYTES) -> DataFrame:
+    """Best label and its margin over the second: id, predicted, margin. Ties go to the lesser label.
+
+    A model of bounded size (measured) is broadcast as one row and scored inside each row; beyond, labels are joined.
+    """
+    told = model.agg(F.sum(8 * F.size("direction") + 64)).first()[0] or 0
     centred = F.zip_with("vector", "centre", lambda x, c: x.cast("double") - c)
-    scored = rows.select("id", "vector").join(F.broadcast(model)).withColumn("_x", centred)
+    if told <= model_bytes:
+        one = model.agg(F.collect_list(F.struct("label", "direction", "bias")).alias("_model"), F.first("centre").alias("centre"))
+        scored = rows.select("id", "vector").join(F.broadcast(one)).withColumn("_x", centred)  # one row
+        size = F.sqrt(F.aggregate("_x", F.lit(0.0), lambda s, x: s + x * x))
+
+        def score(m):
+            return F.round(F.aggregate(F.zip_with("_x", m["direction"], lambda x, d: x * d), F.lit(0.0), lambda s, x: s + x) / F.greatest("_size", F.lit(1e-12)) + m["bias"], 9)
+
+        best = F.slice(F.array_sort(F.transform("_model", lambda m: F.struct((-score(m)).alias("s"), m["label"].alias("label")))), 1, 2)
+        top = scored.withColumn("_size", size).select("id", best.alias("b"))
+        return top.select("id", F.col("b")[0]["label"].alias("predicted"), (F.element_at("b", -1)["s"] - F.col("b")[0]["s"]).alias("margin"))
+    scored = rows.select("id", "vector").crossJoin(model).withColumn("_x", centred)  # labels are a stated set against all rows
     size = F.sqrt(F.aggregate("_x", F.lit(0.0), lambda s, x: s + x * x))
     score = F.round(F.aggregate(F.zip_with("_x", "direction", lambda x, d: x * d), F.lit(0.0), lambda s, x: s + x) / F.greatest(size, F.lit(1e-12)) + F.col("bias"), 9)
-    ranked = scored.select("id", "label", score.alias("score")).withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "label")))
-    return ranked.filter("n <= 2").groupBy("id").agg(F.max(F.when(F.col("n") == 1, F.col("label"))).alias("predicted"), (F.max("score") - F.min("score")).alias("margin"))
+    ranked = scored.select("id", "label", score.alias("score")).withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "label"))).filter("n <= 2")
+    return ranked.groupBy("id").agg(F.max(F.when(F.col("n") == 1, F.col("label"))).alias("predicted"), (F.max("score") - F.min("score")).alias("margin"))
 
 
 def normal_equations(train: DataFrame, n_labels: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,10 +99,18 @@ def linear_predict(rows: DataFrame, weights: np.ndarray) -> DataFrame:
     return rows.select("id", "vector").mapInPandas(predict, "id long, predicted long, margin double")
 
 
+#: Terms whose document counts are broadcast at most, some 60 bytes each.
+BROADCAST_TERMS = 500_000
+
+
 def tf_idf(terms: DataFrame, least_df: int = 2) -> DataFrame:
-    """id, term, weight: (1 + ln tf) (ln((1 + n) / (1 + df)) + 1), unit length per id. ``terms``: id, term, one row per use."""
-    tf = terms.groupBy("id", "term").agg((1 + F.log(F.count(F.lit(1)))).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= least_df)
-    n = terms.agg(F.countDistinct("id").alias("n"))
-    w = tf.join(df, "term").join(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))  # n is one row
+    """id, term, weight: (1 + ln tf) (ln((1 + n) / (1 + df)) + 1), unit length per id. ``terms``: id, term, one row per use.
+
+    Uses are folded to (id, term, tf) once and stored; document counts come from that, and are broadcast up to a counted size.
+    """
+    tf = stored(terms.groupBy("id", "term").agg((1 + F.log(F.count(F.lit(1)))).alias("tf")), "term-counts")
+    df = stored(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= least_df), "document-counts")
+    n = tf.select("id").distinct().agg(F.count(F.lit(1)).alias("n"))
+    known = F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+    w = tf.join(known, "term").join(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))  # n is one row
     return w.select("id", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))).alias("weight"))

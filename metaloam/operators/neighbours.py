@@ -14,8 +14,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of one block: 64-d vectors of it take some 5 MB.
-BLOCK = 10_000
+#: Queries of one block: 64-d vectors of it take some 5 MB. And candidates that are compared with them at once: 80 MB.
+BLOCK, CANDIDATES = 10_000, 1024
+
+
+def best_columns(sims: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Per row the columns of the k greatest values, of equal ones those of the least ids; in no order."""
+    if sims.shape[1] <= k:
+        return np.broadcast_to(np.arange(sims.shape[1]), sims.shape)
+    part = np.argpartition(-sims, k - 1, axis=1)[:, :k].copy()
+    taken = np.take_along_axis(sims, part, 1)
+    last = taken.min(1, keepdims=True)
+    for i in np.flatnonzero((sims == last).sum(1) > (taken == last).sum(1)):  # ties at the edge
+        part[i] = np.lexsort((ids[i], -sims[i]))[:k]
+    return part
 
 
 def top_k(queries: DataFrame, items: DataFrame, k: int = 10, block: int = BLOCK, blocked_by_group: bool = False) -> DataFrame:
@@ -40,19 +52,19 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 10, block: int = BLOCK,
             ids, q, groups = shared.value
             kept = None
             for rows in batches:
-                if rows.empty:
-                    continue
-                m = np.stack([np.asarray(v, np.float64) for v in rows["vector"]])
-                sims = np.round(q @ (m / np.maximum(np.linalg.norm(m, axis=1), 1e-300)[:, None]).T, 9)
-                own_ids = rows["id"].to_numpy()
-                sims[ids[:, None] == own_ids[None, :]] = -np.inf
-                if groups is not None:
-                    sims[groups[:, None] == rows["grp"].to_numpy()[None, :]] = -np.inf
-                found = np.broadcast_to(own_ids, sims.shape)
-                if kept is not None:
-                    sims, found = np.concatenate([kept[0], sims], 1), np.concatenate([kept[1], found], 1)
-                order = np.lexsort((found, -sims), axis=1)[:, :k]
-                kept = np.take_along_axis(sims, order, 1), np.take_along_axis(found, order, 1)
+                for lo in range(0, len(rows), CANDIDATES):
+                    part = rows.iloc[lo : lo + CANDIDATES]
+                    m = np.stack([np.asarray(v, np.float64) for v in part["vector"]])
+                    sims = np.round(q @ (m / np.maximum(np.linalg.norm(m, axis=1), 1e-300)[:, None]).T, 9)
+                    own_ids = part["id"].to_numpy()
+                    sims[ids[:, None] == own_ids[None, :]] = -np.inf
+                    if groups is not None:
+                        sims[groups[:, None] == part["grp"].to_numpy()[None, :]] = -np.inf
+                    found = np.broadcast_to(own_ids, sims.shape)
+                    if kept is not None:
+                        sims, found = np.concatenate([kept[0], sims], 1), np.concatenate([kept[1], found], 1)
+                    best_of = best_columns(sims, found, k)
+                    kept = np.take_along_axis(sims, best_of, 1), np.take_along_axis(found, best_of, 1)
             if kept is not None:
                 n = kept[0].shape[1]
                 out = pd.DataFrame({"query_id": np.repeat(ids, n), "item_id": kept[1].ravel(), "sim": kept[0].ravel()})
@@ -111,8 +123,34 @@ def overlap(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
 
 
 def vector_sums(rows: DataFrame, by: str, vector: str = "vector") -> DataFrame:
-    """Per group and dimension the sum, and the number of rows: by, pos, s, n. Partial sums are made before the shuffle."""
-    return rows.select(by, F.posexplode(vector).alias("pos", "x")).groupBy(by, "pos").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
+    """Per group and dimension the sum, and the number of rows: by, pos, s, n. Each task sums its rows' vectors by group, so
+    that only sums are exploded and moved.
+    """
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[object, list] = {}
+
+        def told() -> pd.DataFrame:
+            out = pd.DataFrame({by: list(sums), "s": [s.tolist() for s, _ in sums.values()], "n": [n for _, n in sums.values()]})
+            sums.clear()
+            return out
+
+        for part in batches:
+            for key, v in zip(part[by], part[vector], strict=True):
+                x = np.asarray(v, np.float64)
+                if key in sums:
+                    sums[key][0] += x
+                    sums[key][1] += 1
+                else:
+                    sums[key] = [x.copy(), 1]
+            if len(sums) > 10_000:
+                yield told()
+        if sums:
+            yield told()
+
+    kind = rows.schema[by].dataType.simpleString()
+    partial = rows.filter(F.col(by).isNotNull()).select(by, vector).mapInPandas(summed, f"{by} {kind}, s array<double>, n long")
+    return partial.select(by, F.posexplode("s").alias("pos", "x"), "n").groupBy(by, "pos").agg(F.sum("x").alias("s"), F.sum("n").alias("n"))
 
 
 def coherence(rows: DataFrame, by: str) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metaloam.functions import tails
+from metaloam.operators.ordering import with_running_sum
 
 
 def agreement_by_run(df: DataFrame, run: str, exact: str, lenient: str) -> DataFrame:
@@ -120,20 +121,6 @@ def mann_whitney(df: DataFrame, value: str, first: str) -> DataFrame:
     return s.select(F.round("u", 2).alias("u"), F.round(F.least(F.lit(1.0), two_sided(z)), 3).alias("p"))
 
 
-def with_running_sum(df: DataFrame, order: str, value: str, to: str, ranges: int = 256) -> DataFrame:
-    """``to``: the sum of ``value`` over all rows that come before in the order (of numbers).
-
-    Rows are dealt to ranges by sampled bounds; a window runs inside each range, and prefix sums of the ranges' totals are added.
-    """
-    cuts = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.5 / ranges))) if ranges > 1 else []
-    bound = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
-    dealt = df.withColumn("_range", F.size(F.filter(bound, lambda c: c < F.col(order))))
-    totals = dealt.groupBy("_range").agg(F.sum(value).alias("_s"))
-    before = totals.select("_range", (F.sum("_s").over(Window.orderBy("_range")) - F.col("_s")).alias("_before"))  # a row for each range
-    within = F.sum(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return dealt.join(F.broadcast(before), "_range").withColumn(to, F.col("_before") + F.coalesce(within, F.lit(0))).drop("_range", "_before")
-
-
 def letters(k: int, pairs: list[tuple[int, int]], p_values: list[float], alpha: float = 0.05) -> list[str]:
     """Compact letter display: groups that don't differ share a letter; groups are built greedily in their order."""
     differ = {frozenset(pair) for pair, p in zip(pairs, p_values, strict=True) if p < alpha}

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from metaloam.functions import measure as M
 from metaloam.functions import text as X
 from metaloam.functions.stable import stable_fold, stable_key, stable_share
-from metaloam.operators import agreement, ordering
+from metaloam.operators import agreement, models, ordering
+from metaloam.operators.shared import stored
 from metaloam.registry import query, table
 
 _TOK = "regexp_extract_all(text, '[A-Za-z0-9]+')"
@@ -29,8 +30,10 @@ def token_mass(spark, sf_dir):
 SELECT doc_id, count(s.term) AS kept, count(*) AS of FROM t LEFT JOIN s USING (term) GROUP BY doc_id""")
 def identity_strip(spark, sf_dir):
     t = table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    shared = t.groupBy("term").agg(F.countDistinct("source").alias("n")).filter("n >= 5").select("term", F.lit(1).alias("k"))
-    return t.join(shared, "term", "left").groupBy("doc_id").agg(F.count("k").alias("kept"), F.count(F.lit(1)).alias("of"))
+    # folded to (term, source) first, so a word of all documents is a row for each source
+    shared = stored(t.groupBy("term", "source").agg(F.lit(1).alias("one")).filter("source IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5").select("term", F.lit(1).alias("k")), "shared-terms")
+    few = shared.count() <= models.BROADCAST_TERMS
+    return t.join(F.broadcast(shared) if few else shared, "term", "left").groupBy("doc_id").agg(F.count("k").alias("kept"), F.count(F.lit(1)).alias("of"))
 
 
 @query(r"""SELECT p_partkey, round(CASE WHEN greatest(length(p_name), length(p_type)) > 0 THEN 1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type))::DOUBLE ELSE 1 END, 6) AS levenshtein,

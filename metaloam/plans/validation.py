@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from metaloam.functions import tails
-from metaloam.operators import agreement
+from metaloam.operators import agreement, ordering
 from metaloam.operators import validation as V
 from metaloam.registry import query, table
 
@@ -224,4 +224,4 @@ def recall_and_invention(spark, sf_dir):
 
 @query("SELECT o_orderkey, (sum(o_custkey) OVER (ORDER BY o_orderkey) - o_custkey)::BIGINT AS before FROM orders")
 def running_sums(spark, sf_dir):
-    return V.with_running_sum(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "o_custkey", "before", 16).select("o_orderkey", "before")
+    return ordering.with_running_sum(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "o_custkey", "before", 16).select("o_orderkey", "before")
