@@ -100,7 +100,7 @@ def annotated(value: Column) -> tuple[Column, Column, Column]:
 def split_values(value: Column) -> Column:
     """Split at semicolons where there are any, else at double bars; trimmed, empty ones dropped."""
     parts = F.when(F.contains(value, F.lit(";")), F.split(value, ";")).otherwise(F.split(value, r"\|\|"))
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def term_text(label: Column, synonyms: Column) -> Column:
@@ -121,7 +121,7 @@ def location_matches(place: Column, location: Column) -> Column:
 
 def key_values(text: Column, between: str = ";", sign: str = "=") -> Column:
     """``k=v`` parts to a map; the last value of a key wins."""
-    pairs = F.filter(F.transform(F.split(text, between), F.trim), lambda p: F.contains(p, F.lit(sign)))
+    pairs = F.filter(F.transform(F.split(text, between), lambda x: F.trim(x)), lambda p: F.contains(p, F.lit(sign)))
     entries = F.transform(pairs, lambda p: F.struct(F.trim(F.split_part(p, F.lit(sign), F.lit(1))).alias("k"), F.trim(F.substring(p, F.instr(p, sign) + 1, F.char_length(p))).alias("v")))
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda f: f["k"] == e["k"]))
     return F.map_from_entries(last)

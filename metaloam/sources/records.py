@@ -25,15 +25,15 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def record_text(records: DataFrame, drop_keys: tuple[str, ...] = (), most: int = 2000) -> DataFrame:
-    """sample_id and text: cleaned ``key=value`` parts in order without repeats, joined by ``; ``, cut to ``most``."""
+def record_text(records: DataFrame, drop_keys: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """sample_id and text: cleaned ``key=value`` parts in order without repeats, joined by ``; ``; cut only if asked."""
     from metaloam.functions.text import is_missing
 
     key = F.regexp_replace(F.lower("key"), "^(sample|study)_", "")
     kept = records.filter(~is_missing(F.col("value")) & ~key.isin(*drop_keys) & ~key.rlike("^(experiment|run)"))
     part = kept.select("sample_id", "pos", F.concat(key, F.lit("="), F.col("value")).alias("part"))
     joined = F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"])), "; ")
-    return part.groupBy("sample_id").agg(F.substring(joined, 1, most).alias("text"))
+    return part.groupBy("sample_id").agg((joined if most is None else F.substring(joined, 1, most)).alias("text"))
 
 
 def read_strings(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
@@ -83,10 +83,16 @@ def read_owl(spark: SparkSession, path: str, prefix: str) -> DataFrame:
 
 
 def read_json_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON map of id to embedding and labels: sample_id, embedding, sub_biome, biome."""
-    value = "map<string,struct<embedding:array<float>,`sub-biome`:string,biome:string>>"
-    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", value)).alias("sample_id", "v"))
-    return whole.select("sample_id", "v.embedding", F.col("v.`sub-biome`").alias("sub_biome"), "v.biome")
+    """A JSON map of id to embedding and labels: sample_id, embedding, sub_biome, biome.
+
+    Entries are told apart by the brace and comma that end one, so a file of any size is split between tasks and no row
+    holds more than an entry.
+    """
+    value = "struct<embedding:array<float>,`sub-biome`:string,biome:string>"
+    entries = spark.read.text(path, lineSep="},").select(F.trim(F.regexp_replace("value", r"[\s,}]+$", "")).alias("value"))
+    found = r'(?s)^[\s{]*"((?:[^"\\]|\\.)*)"\s*:\s*(\{.*)$'
+    rows = entries.filter(F.col("value").rlike(found)).select(F.regexp_extract("value", found, 1).alias("sample_id"), F.from_json(F.concat(F.regexp_extract("value", found, 2), F.lit("}")), value).alias("v"))
+    return rows.select("sample_id", "v.embedding", F.col("v.`sub-biome`").alias("sub_biome"), "v.biome")
 
 
 def read_meta_lines(spark: SparkSession, path: str) -> DataFrame:
