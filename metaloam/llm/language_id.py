@@ -36,7 +36,7 @@ PER_LANGUAGE = 2500
 #: Languages of one matrix: 32 MB. Further languages have matrices of their own.
 BLOCK_LANGUAGES = 256
 #: N-grams whose mean evidence makes a score.
-EVIDENCE = 12
+EVIDENCE = 3
 UNKNOWN = "und"
 _BLOCK = 1 << 20
 _KNOWN = 0x110000
