@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from metaloam.functions import measure, tails, text, vectors
+from metaloam.functions import measure, parse, tails, text, vectors
 
 
 def value(spark, column, **literals):
@@ -53,3 +53,35 @@ def test_tails():
     assert tails.t_two_sided(2.2281388519649385, 10) == pytest.approx(0.05)
     assert tails.fisher_exact(8, 2, 1, 5) == pytest.approx(0.03496503496503495)
     assert tails.mcnemar(10, 2)[0] == pytest.approx(49 / 12)
+
+
+def test_hemispheres_stand_alone(spark):
+    for said, degrees in (("45 degrees N", 45.0), ("51 North latitude, mesured", 51.0), ("10,5 S", -10.5), ("7 south", -7.0), ("W 3.25", -3.25), ("-4", -4.0), ("30°15'S", -30.25), ("no place", None)):
+        assert value(spark, measure.dms_to_decimal(F.lit(said))) == degrees
+
+
+def test_depth_classes(spark):
+    for said, unit, metres in (("15cm", "cm", 0.15), ("3 in", "inches", 0.0762), ("20 mm", "mm", 0.02), ("7mbsf", "mbsf", 7.0), ("4 m bgs", "bgs", 4.0), ("2 fathoms", "other", 2.0)):
+        assert value(spark, measure.depth_class(F.lit(said))) == unit
+        assert value(spark, measure.depth_to_metres(F.lit(said), F.lit(unit))) == pytest.approx(metres)
+
+
+def test_measurement_rules(spark):
+    cases = (("NA", "missing", None), ("Sea level.", "sea_level", 0.0), ("2300 masl", "masl", 2300.0), ("500 ft", "feet", 152.4), ("1.2 km", "km", 1200.0), ("12,5", "bare_number", 12.5), ("100-200", "range_or_composite", None), ("1.234,56", "bare_number", 1.23456), ("abc", "other", None))
+    for said, unit, metres in cases:
+        assert value(spark, measure.unit_class(F.lit(said))) == unit
+        got = value(spark, measure.to_metres(F.lit(said), F.lit(unit)))
+        assert got == metres if metres is None else got == pytest.approx(metres)
+
+
+def test_lists_are_trimmed_whole(spark):
+    assert value(spark, text.split_values(F.lit(" a ; b  ;c "))) == ["a", "b", "c"]
+    assert value(spark, text.key_values(F.lit(" a = 1 ; b=2;a=3"))) == {"a": "3", "b": "2"}
+
+
+def test_ids_and_answers(spark):
+    assert value(spark, text.dois(F.lit("see DOI:10.1/x, and doi:10.2/y."))) == ["DOI:10.1/x", "doi:10.2/y"]
+    assert value(spark, text.project_ids(F.lit("PRJEB12 bioproject 34; BioProject: 34"))) == ["PRJEB12", "PRJNA34"]
+    assert [tuple(r) for r in value(spark, parse.candidates(F.lit("a:b:0.5;c:1;none")))] == [("a:b", 0.5), ("c", 1.0)]
+    assert value(spark, parse.grouped_integer(F.lit("1,234,567 rows"))) == 1234567
+    assert tuple(value(spark, parse.loose_fields(F.lit("x {'k': 'v', \"w\": 2} y"), ("a", "b", "c")))) == ("v", "2", "N/A")

@@ -1,9 +1,12 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from metaloam.catalogue import QUERIES
-from metaloam.operators import batches, calibration, graph, hierarchy, models, tables
+from metaloam.functions import tails
+from metaloam.operators import batches, calibration, cleaning, graph, hierarchy, models, neighbours, ordering, sampling, shared, tables, transfer, validation
 from metaloam.sources import records, sinks
 from metaloam.streaming import incremental
 
@@ -141,3 +144,73 @@ def test_welch_takes_all_groups(spark, tmp_path):
     orders = spark.range(360).selectExpr("concat('p', id % 120) o_orderpriority", "cast(id * id % 97 as double) o_totalprice")
     orders.write.parquet(f"{tmp_path}/orders.parquet")
     assert QUERIES["welch_by_priority"](spark, str(tmp_path)).count() == 120 * 119 // 2
+
+
+def test_run_tests_choose_their_kind(spark):
+    rows = [(r, i, int(h)) for r, n, h in (("a", 10, True), ("b", 10, False)) for i in range(n)]  # no variance, same samples: paired
+    rows += [("c", 100 + i, 1) for i in range(8)] + [("d", 200 + i, i % 2) for i in range(8)]
+    got = {(r["run1"], r["run2"]): r for r in validation.run_tests(spark.createDataFrame(rows, "run string, sample long, hit int"), "run", "sample", "hit").collect()}
+    assert got["a", "b"]["test"] == "McNemar" and got["a", "b"]["statistic"] == pytest.approx(8.1) and got["a", "b"]["p"] == pytest.approx(0.00443)
+    assert got["a", "b"]["adjusted"] == pytest.approx(6 * 0.004427, abs=1e-4)
+    assert got["c", "d"]["test"] == "Fisher exact" and got["c", "d"]["p"] == pytest.approx(0.07692, abs=1e-5)
+    assert got["a", "d"]["test"] == "Fisher exact" and len(got) == 6
+
+
+def test_letters_of_groups():
+    pairs = [(0, 1), (0, 2), (1, 2)]
+    assert validation.letters(3, pairs, [0.5, 0.5, 0.5]) == ["a", "a", "a"]
+    assert validation.letters(3, pairs, [0.01, 0.01, 0.01]) == ["a", "b", "c"]
+    assert validation.letters(3, pairs, [0.5, 0.01, 0.5]) == ["a", "ab", "b"]
+
+
+def test_tails_of_students_t():
+    assert tails.student(1.0, 8.0, 5, 2.0, 8.0, 5)[0] == pytest.approx(-1.118034)
+    assert tails.student(1.0, 8.0, 5, 2.0, 8.0, 5)[1] == pytest.approx(0.295996, abs=1e-5)
+    assert tails.paired(0.0, 0.0, 4) == (0.0, 1.0) and tails.paired(1.0, 0.0, 4)[1] == 0.0
+
+
+def test_best_columns_break_ties_by_id():
+    rng = np.random.default_rng(2)
+    sims = np.round(rng.random((40, 60)), 1)
+    ids = np.array([rng.permutation(60) for _ in range(40)])
+    got = neighbours.best_columns(sims, ids, 7)
+    for i in range(40):
+        assert sorted(ids[i][got[i]]) == sorted(ids[i][np.lexsort((ids[i], -sims[i]))[:7]])
+
+
+def test_reviews_and_samples_refuse_what_they_cannot_do(spark):
+    with pytest.raises(ValueError, match="unknown"):
+        cleaning.checked_overrides(spark.createDataFrame([("study", "1", "", "maybe")], "scope string, id string, pattern string, decision string"))
+    with pytest.raises(ValueError, match="need"):
+        cleaning.checked_overrides(spark.createDataFrame([("study",)], "scope string"))
+    rows = spark.createDataFrame([(i, i % 2) for i in range(9)], "k long, label int")
+    assert sampling.n_per_class(rows, "label", "k", 4, exact=True).count() == 8
+    with pytest.raises(ValueError, match="fewer"):
+        sampling.n_per_class(rows, "label", "k", 5, exact=True)
+
+
+def test_running_sums_of_ranges(spark):
+    rows = spark.createDataFrame([(float(i * 7 % 101), i) for i in range(101)], "x double, v long")
+    for ranges in (1, 16):
+        got = {r["x"]: r["s"] for r in ordering.with_running_sum(rows, "x", "v", "s", ranges).collect()}
+        order, total = sorted((r["x"], r["v"]) for r in rows.collect()), 0
+        for x, v in order:
+            assert got[x] == total
+            total += v
+    assert ordering.with_running_sum(rows.limit(0), "x", "v", "s").count() == 0
+
+
+def test_intermediate_tables_go(spark):
+    df = shared.stored(spark.range(5), "test")
+    where = df._stored_at
+    shared.discard(df, spark.range(3))
+    assert not os.path.exists(where.removeprefix("file:")) and df._stored_at is None
+
+
+def test_ranked_and_hybrid_scores(spark):
+    scores = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.5), (1, "c", 1.0), (2, "a", 2.0)], "s long, label string, score double")
+    got = {r["s"]: r for r in transfer.ranked(scores, "s", 2).collect()}
+    assert got[1]["top"] == ["c", "a"] and got[1]["confidence"] == 0.5 and got[2]["top"] == ["a"]
+    linear = scores.filter("label <> 'b'")
+    mixed = {(r["s"], r["label"]): r["score"] for r in transfer.hybrid(linear, scores, "s", 2.0).collect()}
+    assert mixed[1, "b"] == 0.0 and mixed[1, "c"] == 3.0
