@@ -159,10 +159,10 @@ def values_of_lists(spark, sf_dir):
     return J.distinct_list_values(table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("v")), "v")
 
 
-@query("SELECT c_nationkey, c_mktsegment FROM customer EXCEPT SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 0")
+@query("SELECT c_nationkey, c_mktsegment FROM customer EXCEPT SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 8000")
 def pairs_not_in(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    return J.pair_difference(c, c.filter("c_acctbal > 0"), "c_nationkey", "c_mktsegment")
+    return J.pair_difference(c, c.filter("c_acctbal > 8000"), "c_nationkey", "c_mktsegment")
 
 
 _PARTS = "f AS (SELECT o_custkey AS k, o_orderstatus AS s, max(o_totalprice) AS x FROM orders GROUP BY ALL)"

@@ -56,9 +56,13 @@ def cluster_phrase_scores(spark, sf_dir):
     return clusters.phrase_scores(terms).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id AS id, source AS cluster, unnest({_WORDS}) AS term FROM documents), n AS (SELECT cluster, term, count(DISTINCT id) AS df_c, count(*) AS tf_c FROM t GROUP BY ALL), k AS (SELECT count(DISTINCT cluster) AS k FROM t),
+s AS (SELECT cluster, term, round(df_c * ((tf_c + 1)::DOUBLE / (sum(tf_c) OVER (PARTITION BY term) + k)), 6) AS score FROM n, k), r AS (SELECT cluster, term, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, term) AS i FROM s QUALIFY i <= 3),
+l AS (SELECT cluster, list(term ORDER BY i) AS t FROM r GROUP BY cluster), a AS (SELECT cluster, t, t[1] AS name FROM l), b AS (SELECT cluster, t, CASE WHEN count(*) OVER (PARTITION BY name) > 1 AND len(t) > 1 THEN name || '_' || t[2] ELSE name END AS name FROM a),
+c AS (SELECT cluster, t, CASE WHEN count(*) OVER (PARTITION BY name) > 1 AND len(t) > 2 THEN name || '_' || t[3] ELSE name END AS name FROM b) SELECT cluster, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN name || '_c' || cluster ELSE name END AS name FROM c""")
 def cluster_names(spark, sf_dir):
-    return clusters.unique_names(cluster_phrase_scores(spark, sf_dir))
+    terms = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("cluster"), F.explode(tokens(F.col("text"))).alias("term"))
+    return clusters.unique_names(clusters.phrase_scores(terms).withColumn("score", F.round("score", 6)))
 
 
 @query(f"""WITH t AS (SELECT doc_id AS id, unnest({_WORDS}) AS term FROM documents), tf AS (SELECT id, term, 1 + ln(count(*)) AS tf FROM t GROUP BY ALL),
