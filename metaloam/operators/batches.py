@@ -23,18 +23,35 @@ def next_fit(sizes: list[int], budget: int) -> list[list[int]]:
     return bins
 
 
+class Rooms:
+    """The room left in up to n bins, and the first bin with enough of it: a tree of greatest rooms, so a search takes log n."""
+
+    def __init__(self, n: int, budget: int):
+        self.leaves = 1 << max(0, n - 1).bit_length()
+        self.tree = [budget] * (2 * self.leaves)
+
+    def take(self, size: int) -> int:
+        """The first bin that has room for ``size``, which it then has less."""
+        i = 1
+        while i < self.leaves:
+            i = 2 * i if self.tree[2 * i] >= size else 2 * i + 1
+        at = i - self.leaves
+        self.tree[i] -= size
+        while i > 1:
+            i //= 2
+            self.tree[i] = max(self.tree[2 * i], self.tree[2 * i + 1])
+        return at
+
+
 def first_fit_decreasing(sizes: list[int], budget: int) -> list[list[int]]:
     """Sizes above the budget are left out."""
-    bins, rooms = [], []
-    for s in sorted((x for x in sizes if x <= budget), reverse=True):
-        for i, room in enumerate(rooms):
-            if s <= room:
-                bins[i].append(s)
-                rooms[i] -= s
-                break
-        else:
-            bins.append([s])
-            rooms.append(budget - s)
+    kept = sorted((x for x in sizes if x <= budget), reverse=True)
+    rooms, bins = Rooms(len(kept), budget), []
+    for s in kept:
+        i = rooms.take(s)
+        if i == len(bins):
+            bins.append([])
+        bins[i].append(s)
     return bins
 
 
@@ -62,17 +79,8 @@ def pack_rows(df: DataFrame, key: str, size: str, budget: int, block_rows: int =
 
     def packed(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["size", "key"], ascending=[False, True], ignore_index=True)
-        rooms: list[int] = []
-        bins = []
-        for s in part["size"]:
-            if s > budget:
-                bins.append(None)
-                continue
-            i = next((i for i, room in enumerate(rooms) if s <= room), len(rooms))
-            if i == len(rooms):
-                rooms.append(budget)
-            rooms[i] -= s
-            bins.append(i)
+        rooms = Rooms(len(part), budget)
+        bins = [None if s > budget else rooms.take(s) for s in part["size"]]
         return part.assign(bin=pd.array(bins, "Int32"))
 
     return rows.groupBy("block").applyInPandas(packed, "key long, size long, block int, bin int")
@@ -115,8 +123,20 @@ class RateWindow:
         self.calls.append(self.clock())
 
 
-def call_service(df: DataFrame, key: str, text: str, client: Callable[[list[str]], list[str]], batch: int = 20, most_per_minute: int = 0) -> DataFrame:
-    """key, answer and error of each row; a batch that fails leaves rows with an error, none is lost."""
+def with_retries(call: Callable[[], list[str]], retries: int, wait: float, sleep: Callable[[float], None] = time.sleep) -> tuple[list[str] | None, str | None]:
+    """The answers, or the last error after so many further tries; waits double from try to try."""
+    for i in range(retries + 1):
+        try:
+            return call(), None
+        except Exception as e:  # the service's errors are data here
+            error = str(e)
+            if i < retries:
+                sleep(wait * 2**i)
+    return None, error
+
+
+def call_service(df: DataFrame, key: str, text: str, client: Callable[[list[str]], list[str]], batch: int = 20, most_per_minute: int = 0, retries: int = 2, wait: float = 0.5) -> DataFrame:
+    """key, answer and error of each row; a batch that fails again and again leaves rows with an error, none is lost."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         limit = RateWindow(most_per_minute) if most_per_minute else None
@@ -125,10 +145,8 @@ def call_service(df: DataFrame, key: str, text: str, client: Callable[[list[str]
                 part = rows.iloc[lo : lo + batch]
                 if limit:
                     limit.wait()
-                try:
-                    answers, error = client(list(part[text])), None
-                except Exception as e:  # the service's errors are data here
-                    answers, error = [None] * len(part), str(e)
+                answers, error = with_retries(lambda p=part: client(list(p[text])), retries, wait)
+                answers = [None] * len(part) if answers is None else answers
                 yield pd.DataFrame({key: part[key], "answer": answers, "error": error})
 
     return df.select(F.col(key).cast("string").alias(key), text).mapInPandas(run, f"{key} string, answer string, error string")

@@ -19,6 +19,7 @@ def best_k_means(rows: DataFrame, ks: list[int], seed: int = 42) -> tuple[DataFr
         score = ClusteringEvaluator(predictionCol="cluster").evaluate(found)
         if best is None or score > best[0]:
             best = (score, k, found)
+    data.unpersist()
     return best[2].drop("features"), best[1]
 
 

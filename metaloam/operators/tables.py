@@ -45,9 +45,9 @@ def merge_lists(a: DataFrame, b: DataFrame, key: str, values: str) -> DataFrame:
     return x.join(y, key, "full_outer").select(key, F.array_union(F.coalesce("_x", none), F.coalesce("_y", none)).alias(values))
 
 
-def wide_from_long(df: DataFrame, key: str, item: str, value: str, items: list[str]) -> DataFrame:
-    """Entity-attribute-value rows to one row for each key; the least value of an item stays."""
-    return df.groupBy(key).pivot(item, items).agg(F.min(value))
+def wide_from_long(df: DataFrame, key: str, item: str, value: str, items: list[str], order: str | None = None) -> DataFrame:
+    """Entity-attribute-value rows to one row for each key; the first value of an item by ``order`` stays, else the least."""
+    return df.groupBy(key).pivot(item, items).agg(F.min_by(value, order) if order else F.min(value))
 
 
 def distinct_apply(df: DataFrame, column: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -61,8 +61,8 @@ def first_known(df: DataFrame, key: str, ids: str, known: DataFrame, id_name: st
     return listed.join(known.select(id_name).distinct(), id_name).groupBy(key).agg(F.min_by(id_name, "_pos").alias(id_name))
 
 
-def ordered_rules(df: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+def ordered_rules(df: DataFrame, rules: DataFrame, key: str, row: str = "row_id", text: str = "text") -> DataFrame:
     """The decision of the last rule that fits each row (equal scope key, and its pattern if it has one)."""
-    fits = df.join(rules, key).filter(F.col("pattern").isNull() | F.expr("regexp_like(text, pattern)"))
-    last = fits.groupBy("row_id").agg(F.max_by("decision", "rule_order").alias("decision"))
-    return df.join(last, "row_id", "left")
+    fits = df.select(row, key, text).join(rules, key).filter(F.col("pattern").isNull() | F.regexp_like(F.col(text), F.col("pattern")))
+    last = fits.groupBy(row).agg(F.max_by("decision", "rule_order").alias("decision"))
+    return df.join(last, row, "left")

@@ -214,3 +214,38 @@ def test_ranked_and_hybrid_scores(spark):
     linear = scores.filter("label <> 'b'")
     mixed = {(r["s"], r["label"]): r["score"] for r in transfer.hybrid(linear, scores, "s", 2.0).collect()}
     assert mixed[1, "b"] == 0.0 and mixed[1, "c"] == 3.0
+
+
+def test_first_fit_by_tree_is_first_fit():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 5, 64, 200):
+        sizes, rooms, bins = rng.integers(1, 30, n).tolist(), [], []
+        for s in sorted(sizes, reverse=True):
+            i = next((i for i, r in enumerate(rooms) if s <= r), len(rooms))
+            if i == len(rooms):
+                rooms.append(29)
+                bins.append([])
+            rooms[i] -= s
+            bins[i].append(s)
+        assert batches.first_fit_decreasing(sizes, 29) == bins
+
+
+def test_retries_wait_longer_each_time():
+    calls, waits = [], []
+
+    def call():
+        calls.append(1)
+        if len(calls) < 3:
+            raise RuntimeError("busy")
+        return ["done"]
+
+    assert batches.with_retries(call, 2, 1.0, waits.append) == (["done"], None) and waits == [1.0, 2.0]
+    assert batches.with_retries(lambda: 1 / 0, 1, 0.0) == (None, "division by zero")
+
+
+def test_rules_and_first_values(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "x")], "k long, scope string, said string")
+    rules = spark.createDataFrame([("a", None, 1, "keep"), ("a", "^y", 2, "drop")], "scope string, pattern string, rule_order int, decision string")
+    assert {r["k"]: r["decision"] for r in tables.ordered_rules(df, rules, "scope", "k", "said").collect()} == {1: "keep", 2: "drop", 3: None}
+    long = spark.createDataFrame([(1, "i", "z", 0), (1, "i", "a", 1)], "k long, item string, v string, pos int")
+    assert tables.wide_from_long(long, "k", "item", "v", ["i"], "pos").first()["i"] == "z"
