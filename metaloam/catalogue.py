@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from metaloam.plans import agreement, cleaning, joins, models, neighbours, relational, sampling, sources, text, transfer, trees, validation, vector_tables  # noqa: F401  they register their queries
+from metaloam.plans import agreement, cleaning, joins, mapping, models, neighbours, relational, sampling, sources, text, transfer, trees, validation, vector_tables  # noqa: F401  they register their queries
 from metaloam.registry import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "knn_purity_blocked"
