@@ -265,7 +265,7 @@ def without_digit_tokens(text: Column) -> Column:
 
 
 def token_ngrams(words: Column, n: int) -> Column:
-    """All n consecutive elements, joined by spaces."""
+    """All n consecutive elements of a column, joined by spaces."""
     at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))
 

@@ -39,7 +39,9 @@ def text_forms(spark, sf_dir):
 @query("""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM documents), g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM t WHERE len(w) > 1)
 SELECT gram, count(*) AS n FROM g GROUP BY gram HAVING count(*) >= 5""")
 def bigram_counts(spark, sf_dir):
-    grams = table(spark, sf_dir, "documents").select(F.explode(X.token_ngrams(X.tokens(F.col("text")), 2)).alias("gram"))
+    # a column of its own: inside the expression of the n-grams the text would be split once for each of them
+    words = table(spark, sf_dir, "documents").select(X.tokens(F.col("text")).alias("w"))
+    grams = words.select(F.explode(X.token_ngrams(F.col("w"), 2)).alias("gram"))
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5")
 
 
