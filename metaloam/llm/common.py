@@ -44,7 +44,7 @@ def hash_sample(df: DataFrame, key: Column, share: Column) -> DataFrame:
 class WordIds(dict):
     """Words (bytes) to hash buckets, filled on demand and emptied when it gets large."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __init__(self, bucket_of):
         super().__init__()
