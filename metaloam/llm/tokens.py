@@ -11,6 +11,7 @@ import itertools
 import json
 import os
 import re
+from collections.abc import Collection
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,10 @@ LOWER_WORDS = (
         ],
     },
 )
-#: Pieces of text, and words without their punctuation, that a worker remembers, at most.
-REMEMBER = 900_000
+#: Pieces of text that a worker remembers, at most, besides those of one batch: some 150 bytes each.
+REMEMBER = 500_000
+#: Characters of texts that are numbered at once, unless one text has more: some 30 bytes are held for each.
+AT_ONCE = 2_000_000
 #: Workers keep one encoder for each file.
 _encoders: dict[str, Encoder] = {}
 
@@ -57,37 +60,32 @@ class Encoder:
         #: Whether pieces are encoded apart; else all texts whole.
         self.apart = plain and (self.spaced and not model.get("end_of_word_suffix") or kind == LOWER_WORDS and bool(model.get("end_of_word_suffix")))
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.cores: dict[str, tuple[int, ...]] = {}
-        self.signs: dict[str, tuple[int, ...]] = {"": ()}
+        self.signs: dict[str, list[int]] = {"": []}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         #: Byte-level tokenizers show a byte as a character: itself if printable, else the next one from 256 on.
         self.letter_of = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+        self.space = chr(self.letter_of[32])
         self.forget()
 
-    def _core(self, letters: str, spaced: bool) -> tuple[int, ...]:
+    def _core(self, letters: str, spaced: bool) -> list[int]:
         """Ids of a run of letters, with the space before it if ``spaced``."""
-        key = " " + letters if spaced else letters if self.spaced else letters.lower()
-        got = self.cores.get(key)
-        if got is None:
-            if len(self.cores) > REMEMBER // 2:
-                self.cores.clear()
-            if letters.isascii():
-                shown = chr(self.letter_of[32]) + letters if spaced else key
-            else:
-                shown = key.encode().decode("latin-1").translate(self.letter_of)
-            got = self.cores[key] = tuple([t.id for t in self.tokenizer.model.tokenize(shown)])
-        return got
+        text = " " + letters if spaced else letters if self.spaced else letters.lower()
+        if not letters.isascii():
+            shown = text.encode().decode("latin-1").translate(self.letter_of)
+        else:
+            shown = self.space + letters if spaced else text
+        return [t.id for t in self.tokenizer.model.tokenize(shown)]
 
-    def _signs(self, signs: str) -> tuple[int, ...]:
+    def _signs(self, signs: str) -> list[int]:
         got = self.signs.get(signs)
         if got is None:
             if len(self.signs) > REMEMBER // 10:
-                self.signs = {"": ()}
-            got = self.signs[signs] = tuple(self.tokenizer.encode(signs, add_special_tokens=False).ids)
+                self.signs = {"": []}
+            got = self.signs[signs] = self.tokenizer.encode(signs, add_special_tokens=False).ids
         return got
 
-    def _piece(self, key: str) -> tuple[int, ...] | list[int]:
+    def _piece(self, key: str) -> list[int]:
         if self.spaced and key[0] in "\0\n":
             text, spaced = key.removeprefix("\0"), False
         else:
@@ -99,10 +97,36 @@ class Encoder:
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.begin = np.zeros(1 << 14, np.int64)
-        self.length = np.zeros(1 << 14, np.int64)
+        self.begin = np.zeros(1 << 14, np.int32)
+        self.length = np.zeros(1 << 14, np.int32)
+        #: Whether a piece was met in a later batch than the first.
+        self.again = np.zeros(1 << 14, bool)
         self.used = 0
 
+    def _make_room(self) -> None:
+        """Forget the pieces that only one batch had, and if most had several, all."""
+        at = np.flatnonzero(self.again[: len(self.place)])
+        if len(at) > REMEMBER // 2:
+            self.forget()
+            return
+        keys = list(itertools.compress(self.place, self.again.tolist()))
+        n = self.length[at]
+        ends = np.cumsum(n, dtype=np.int64)
+        flat = self.flat[np.repeat(self.begin[at] - (ends - n), n) + np.arange(n.sum())]
+        self.forget()
+        self._add(keys, flat, n)
+
+    def _places(self, keys: list[str]) -> np.ndarray:
+        """The numbers of pieces, which are learnt if need be."""
+        if len(self.place) > REMEMBER:
+            self._make_room()
+        known = len(self.place)
+        if new := set(keys).difference(self.place):
+            self._learn(new)
+        at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
+        self.again[at[at < known]] = True
+        return at
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -122,18 +146,22 @@ class Encoder:
 
     def _learn(self, keys: set[str]) -> None:
         made = [self._piece(k) for k in keys]
-        lengths = list(map(len, made))
-        first, n = len(self.place), sum(lengths)
-        while self.used + n > len(self.flat):
+        lengths = np.fromiter(map(len, made), np.int32, len(made))
+        self._add(keys, np.fromiter(itertools.chain.from_iterable(made), np.uint32, int(lengths.sum())), lengths)
+
+    def _add(self, keys: Collection[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        """``flat``: the ids of the keys, one after another."""
+        first = len(self.place)
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + len(made) > len(self.begin):
-            self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
-        self.flat[self.used : self.used + n] = list(itertools.chain.from_iterable(made))
-        own = slice(first, first + len(made))
+        while first + len(lengths) > len(self.begin):
+            self.begin, self.length, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length, self.again))
+        self.flat[self.used : self.used + len(flat)] = flat
+        own = slice(first, first + len(lengths))
         self.length[own] = lengths
         self.begin[own] = self.used + np.cumsum(lengths) - lengths
-        self.place.update(zip(keys, range(first, first + len(made)), strict=True))
-        self.used += n
+        self.place.update(zip(keys, range(first, first + len(lengths)), strict=True))
+        self.used += len(flat)
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of the whole text, as ``encode(text, add_special_tokens=False)`` gives them."""
@@ -142,13 +170,9 @@ class Encoder:
         pieces = self._pieces(text)
         if pieces is None:
             return self._whole(text)
-        if len(self.place) > REMEMBER:
-            self.forget()
-        if new := set(pieces).difference(self.place):
-            self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        at = self._places(pieces)
         n = self.length[at]
-        ends = np.cumsum(n)
+        ends = np.cumsum(n, dtype=np.int64)
         return self.flat[np.repeat(self.begin[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -163,28 +187,27 @@ class Encoder:
         at_once = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
         for i in set(range(len(texts))) - set(at_once.tolist()):
             out[i] = self.encode(texts[i])
-        if not len(at_once):
-            return out
-        own = given.take(pa.array(at_once))
+        sizes = pc.fill_null(pc.utf8_length(given), 0).to_numpy(zero_copy_only=False)[at_once]
+        begin = np.cumsum(sizes) - sizes
+        for part in np.split(at_once, np.flatnonzero(np.diff(begin // AT_ONCE)) + 1) if len(at_once) else []:
+            for i, ids in zip(part.tolist(), self._encode_plain(given.take(pa.array(part))), strict=True):
+                out[i] = ids
+        return out
+
+    def _encode_plain(self, own: pa.Array) -> list[np.ndarray]:
+        """Ids of texts with single spaces and line breaks between words only."""
         if self.spaced:
             own = pc.replace_substring(pc.binary_join_element_wise("\0", own, ""), "\n", " \n")
         else:
             own = pc.replace_substring(own, "\n", " ")
         pieces = pc.split_pattern(own, " ")
         coded = pieces.flatten().dictionary_encode()
-        keys = coded.dictionary.to_pylist()
-        if len(self.place) > REMEMBER:
-            self.forget()
-        if new := set(keys).difference(self.place):
-            self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[coded.indices.to_numpy()]
+        at = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         n = self.length[at]
-        ends = np.concatenate([[0], np.cumsum(n)])
+        ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
         ids = self.flat[np.repeat(self.begin[at] - ends[:-1], n) + np.arange(ends[-1])]
         cuts = ends[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
-        for i, lo, hi in zip(at_once, cuts, cuts[1:], strict=False):
-            out[i] = ids[lo:hi]
-        return out
+        return [ids[lo:hi] for lo, hi in itertools.pairwise(cuts.tolist())]
 
 
 def encoder(path: str) -> Encoder:

@@ -1,6 +1,7 @@
 """Operators of the training-data subpackage against SQL, brute force, round trips and edge cases."""
 
 import json
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -75,6 +76,40 @@ def test_pieces_give_the_tokenizers_ids(name):
     assert [x.tolist() for x in own.encode_batch(texts)] == want and [own.encode(x).tolist() for x in texts] == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoders_forget_and_stay_small(name, monkeypatch):
+    def texts(begin, end):
+        return [" ".join(f"w{format(i * 7919 % 10**6, 'x').translate(digits)}, the" for i in range(k, k + 1000)) for k in range(begin, end, 1000)]
+
+    digits = str.maketrans("0123456789", "ghijklmnop")
+    own, real = tokens.Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    own.encode_batch(["warm up"])
+    tracemalloc.start()
+    own.encode_batch(texts(0, 60_000))
+    held = tracemalloc.get_traced_memory()[0]
+    # texts that are long together: numbered a part at a time
+    tracemalloc.reset_peak()
+    long = ["the cat sat on " * 40_000 + str(i) for i in range(20)]
+    got = own.encode_batch(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 60_000 * 250
+    assert peak < 20_000_000 + sum(x.nbytes for x in got) + held + 100_000_000
+    assert got[7].tolist() == real.encode(long[7], add_special_tokens=False).ids
+    # pieces that were met again stay, and what is forgotten is learnt anew
+    monkeypatch.setattr(tokens, "REMEMBER", 3000)
+    for begin in (*range(0, 20_000, 2000), 0):
+        for text, ids in zip(part := texts(begin, begin + 2000), own.encode_batch(part), strict=True):
+            assert ids.tolist() == real.encode(text, add_special_tokens=False).ids
+        assert len(own.place) <= 3000 + 2002
+    key = " the".strip()
+    learnt = []
+    monkeypatch.setattr(own, "_piece", lambda k, f=own._piece: learnt.append(k) or f(k))
+    for begin in range(30_000, 40_000, 2000):
+        own.encode_batch(texts(begin, begin + 2000))
+    assert learnt and key not in learnt
+
+
 def test_other_tokenizers_encode_whole_texts(tmp_path):
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         spec = json.load(f)
