@@ -121,10 +121,15 @@ class Encoder:
         if len(self.place) > REMEMBER:
             self._make_room()
         known = len(self.place)
-        if new := set(keys).difference(self.place):
+        at = np.fromiter(map(self.place.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        self.again[at[at >= 0]] = True
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            unknown = [keys[i] for i in missing.tolist()]
+            new = dict.fromkeys(unknown)
             self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
-        self.again[at[at < known]] = True
+            # distinct keys are numbered in their order; only those of a single text may repeat
+            at[missing] = np.arange(known, known + len(new)) if len(new) == len(unknown) else [self.place[k] for k in unknown]
         return at
 
     def _whole(self, text: str) -> np.ndarray:
@@ -144,7 +149,7 @@ class Encoder:
             return None
         return ["\0" + x for x in _CHUNK.findall(text)]
 
-    def _learn(self, keys: set[str]) -> None:
+    def _learn(self, keys: Collection[str]) -> None:
         made = [self._piece(k) for k in keys]
         lengths = np.fromiter(map(len, made), np.int32, len(made))
         self._add(keys, np.fromiter(itertools.chain.from_iterable(made), np.uint32, int(lengths.sum())), lengths)
@@ -202,7 +207,7 @@ class Encoder:
             own = pc.replace_substring(own, "\n", " ")
         pieces = pc.split_pattern(own, " ")
         coded = pieces.flatten().dictionary_encode()
-        at = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        at = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
         n = self.length[at]
         ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
         ids = self.flat[np.repeat(self.begin[at] - ends[:-1], n) + np.arange(ends[-1])]
